@@ -60,13 +60,6 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return stored_bytes(df) <= limit
 
 
-def bounded_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
-    """Bound the bytes of an Arrow batch, so that long texts don't add up, unless set already."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key)) > 256 << 20:
-        spark.conf.set(key, str(limit))
-
-
 def lower_ascii(text: Column) -> Column:
     upper = "".join(map(chr, range(65, 91)))
     return F.translate(text, upper, upper.lower())

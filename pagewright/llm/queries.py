@@ -5,18 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, sharding, url_filter
+from . import decontaminate, line_dedup, packing, quality, sharding, simhash, substring_dedup, token_counts, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's WARC record, as read back from the archives."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand on over 5 % of their source's documents."""
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces in sequences of 4096 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, vocabulary(), 4096, 1, {"ids_crc32": F.crc32("ids")}, keep_ids=False).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words that lie in 10-word windows of benchmark items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op5_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after edits that follow from its own text: a
+    replacement, an insertion and a removal at hashed places."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    place = lambda k: F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).cast("long"))
+    edit = lambda at, removed, put: F.struct(at.alias("at"), removed.cast("long").alias("removed"), put.alias("put"))
+    edits = F.array(
+        edit(place(1), F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(40)), F.lit("an edit, newly written ")),
+        edit(place(3), F.lit(0), F.substring("text", 1, 25)),
+        edit(place(4), F.lit(12), F.lit("")),
+    )
+    counted = token_counts.build(docs, vocabulary()).withColumnRenamed("n_tokens", "n_before").withColumn("edits", edits)
+    return token_counts.update(counted, vocabulary()).select("doc_id", "n_before", F.col("n_tokens").alias("n_after"), F.length("text").cast("long").alias("n_chars"), "n_encoded")
+
+
 def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 8 shards by bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
@@ -24,15 +65,56 @@ def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, 8, size).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts, repetition and the verdict for every document."""
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(f.name for f in quality.FIELDS))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without 50-byte strings of documents before it."""
+    left = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return left.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page's url."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, url_filter.SITE_RULES + url_filter.PATTERN_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_bounded_ring, op9_url_filter)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash and the smallest doc_id that links of 4 bits reach."""
+    found = simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_revisits,
+        op2_line_dedup,
+        op3_best_fit_packing,
+        op4_decontaminate,
+        op5_edit_counts,
+        op6_bounded_ring,
+        op7_quality_rules,
+        op8_suffix_dedup,
+        op9_url_filter,
+        op10_simhash,
+    )
+}
 
 ORACLES = {
+    "op1_warc_revisits": r"""
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (SELECT payload_digest, min(page_id) AS first FROM p GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM p JOIN m ON m.payload_digest = p.payload_digest
+""",
     "op2_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
