@@ -253,7 +253,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str =
     windows = named.agg(F.sum(F.length("text"))).first()[0] or 0  # no item has more windows than characters
     blocks = max(1, -(-windows // BLOCK))
     numbered = named.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    found = docs
+    found = docs.drop(*(f.name for f in FOUND))
     for k in range(blocks):
         own = numbered.where(F.col("block") == k).select("item", "text").collect()
         found = search(found, Phrases([(r["item"], r["text"].encode()) for r in own], width), text)

@@ -51,6 +51,7 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages:
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", key: str = "doc_id", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """The rows of pages with boilerplate lines taken out of text, and n_lines and n_dropped
     added: lines that aren't blank, and those dropped. All other columns are as they were."""
+    pages = pages.drop("n_lines", "n_dropped", "host_key", "boiler", "_host", "_kept", "_salt")
     found = written(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
     keyed = pages.withColumn("_host", F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")))
     if small(found):

@@ -87,7 +87,7 @@ def shard(docs: DataFrame, n_shards: int, size: Column, key: str = "doc_id", tex
     The plan holds 2 ** cell_bits rows at most and is broadcast; the only exchange of documents'
     rows numbers them within their cells, which hold one row in 2 ** cell_bits on average.
     """
-    rows = docs.withColumn("size", size).withColumn("_cell", cell_of(F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), F.coalesce(F.xxhash64(text).cast("string"), F.lit("")))), cell_bits))
+    rows = docs.withColumn("size", size).drop("shard", "slot", "_cell", "_first").withColumn("_cell", cell_of(F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), F.coalesce(F.xxhash64(text).cast("string"), F.lit("")))), cell_bits))
     cells = rows.groupBy(F.col("_cell").alias("cell")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).checkpoint()
     placed = plan(cells, n_shards, load_factor, cell_bits)
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)

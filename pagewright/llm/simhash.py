@@ -212,7 +212,7 @@ def components(nodes: DataFrame, edges: DataFrame, order: str = "label") -> Data
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """One row a document: its columns but text, fp, and component: the smallest key reachable."""
-    prints = written(fingerprints(docs, text, width), "fingerprints")
+    prints = written(fingerprints(docs.drop("component"), text, width), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min(key).alias("label"))
     held = distinct.where(F.col("label").isNotNull()).checkpoint()
     edges = links(held, held.count(), radius).checkpoint()
