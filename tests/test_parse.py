@@ -125,7 +125,7 @@ def test_corpus_and_typst(spark, attempts):
     ]
     source = typst.emit(read.where("path = 'p'"), F.lit("2020-01-02").cast("date")).first().typst_source
     assert '#chapter-divider("I.", "The Way Of The World")' in source and "#signature([BENEDICTUS PP. XVI])" in source
-    assert "promulgated: datetime(year: 2001, month: 3, day: 25)," in source and "#paragraph-num(2) Second, see #footnote[Note 2 text.]." in source
+    assert "promulgated: datetime(year: 2001, month: 3, day: 25)," in source and "#paragraph-num(2) Second, see#footnote[Note 2 text.]." in source
 
 
 def test_reader_quirks(spark):
