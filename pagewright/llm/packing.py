@@ -18,6 +18,7 @@ are packed like any other. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -33,8 +34,8 @@ from .common import chunks, cut_batches, written
 #: Pieces of one length that one task ranks, about.
 RANKED_TOGETHER = 200_000
 
-#: Words that a worker remembers, per table; a full table is emptied.
-REMEMBERED = 1 << 18
+#: Chunks, and words, that each of the two generations of a worker's memory holds.
+CHUNKS, WORDS = 100_000, 350_000
 
 #: Letters that NFC leaves alone and that lower-case one by one, then signs. Whatever else a
 #: chunk holds, the tokenizer itself gets it whole.
@@ -48,6 +49,25 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Memory:
+    """Values by key, in two generations: what wasn't asked for since the last change goes."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit = make, limit
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def get(self, key) -> bytes:
+        """To be called when the key isn't in new."""
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self.new) >= self.limit:
+            self.old, self.new = self.new, {}
+        self.new[key] = found
+        return found
+
+
 class WordTokenizer:
     """The ids of texts by a word-level BPE file, remembered per white-space chunk.
 
@@ -62,20 +82,17 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.by_chunk: dict[bytes, bytes] = {}
-        self.by_word: dict[str, bytes] = {}
+        self.chunks, self.words = Memory(self.chunk, CHUNKS), Memory(self.spelt, WORDS)
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def spelt(self, word: str) -> bytes:
+        letters = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
+        return self.packed([t.id for t in self.model.tokenize(letters)])
 
     def word(self, word: str) -> bytes:
-        if (found := self.by_word.get(word)) is None:
-            spelt = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
-            found = self.packed([t.id for t in self.model.tokenize(spelt)])
-            if len(self.by_word) >= REMEMBERED:
-                self.by_word.clear()
-            self.by_word[word] = found
-        return found
+        return found if (found := self.words.new.get(word)) is not None else self.words.get(word)
 
     def chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
@@ -85,21 +102,8 @@ class WordTokenizer:
 
     def ids(self, text: bytes) -> bytes:
         """As little-endian unsigned 32-bit numbers."""
-        words = text.split()
-        known = self.by_chunk
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        found = []
-        for w in words:
-            if (x := known.get(w)) is None:
-                x = self.chunk(w)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[w] = x
-            found.append(x)
-        return b"".join(found)
+        chunks = self.chunks
+        return b"".join([x if (x := chunks.new.get(w)) is not None else chunks.get(w) for w in text.split()])
 
 
 def pieces(docs: DataFrame, path: str, limit: int = 4096, end_id: int | None = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
