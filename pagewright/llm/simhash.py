@@ -224,7 +224,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     held = distinct.where(F.col("label").isNotNull()).checkpoint()
     edges = links(held, held.count(), radius).checkpoint()
     moved = components(held, edges)
-    labels = held.withColumnRenamed("label", "own").join(moved, "fp", "left").select("fp", F.coalesce("label", "own").alias("component"))
+    labels = written(held.withColumnRenamed("label", "own").join(moved, "fp", "left").select("fp", F.coalesce("label", "own").alias("component")), "labels")
     return prints.join(labels, "fp", "left").withColumn("component", F.coalesce("component", F.col(key)))
 
 
@@ -291,5 +291,5 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     masks = [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(TABLES)]
     edges = spanning(dealt_by(held.select("fp", "node", "wide"), masks), WIDE_RADIUS, WIDE_WORDS).checkpoint()
     moved = components(held.select(F.col("node").alias("fp"), "label"), edges)
-    labels = held.join(moved.select(F.col("fp").alias("node"), F.col("label").alias("moved")), "node", "left").select("fp", "wide", F.coalesce("moved", "label").alias("component"))
+    labels = written(held.join(moved.select(F.col("fp").alias("node"), F.col("label").alias("moved")), "node", "left").select("fp", "wide", F.coalesce("moved", "label").alias("component")), "labels")
     return prints.join(labels, ["fp", "wide"], "left").select(key, F.coalesce("component", F.col(key)).alias("component"))

@@ -39,8 +39,9 @@ from .common import chunks
 LENGTH, KMER = 50, 24
 OFFSETS = LENGTH - KMER + 1  # places an anchor can have in its string
 
-#: Bytes of text in a group of documents, and for each task of a merge, about.
-GROUP_BYTES = 12 << 20
+#: Least and most bytes of text in a group of documents, and for each task of a merge, about.
+#: Between them groups grow with the square root of the corpus: each sends a row to each bucket.
+GROUP_BYTES, MOST_GROUP_BYTES, ROW_BYTES = 12 << 20, 128 << 20, 4096
 
 #: Places that are looked at together.
 SLICE = 1 << 20
@@ -408,7 +409,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     spark = docs.sparkSession
     docs = docs.select(key, text)
     n_docs, n_bytes = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
-    groups = max(1, -(-(n_bytes or 0) // GROUP_BYTES))
+    held = min(MOST_GROUP_BYTES, max(GROUP_BYTES, int(((n_bytes or 0) * ROW_BYTES) ** 0.5)))
+    # A small corpus is dealt to as many tasks as there are, down to a MB each.
+    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), (n_bytes or 0) >> 20)
+    groups = max(1, few, -(-(n_bytes or 0) // held))
     splits = splitters(docs, n_docs, groups, key, text)
     dealt = docs.withColumn("t", F.pmod(F.xxhash64(key, text), F.lit(groups)).cast("int"))
     kind = T.StructType([docs.schema[key]])
