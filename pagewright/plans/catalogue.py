@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import normalize
 from pagewright.functions import text as tx
 from pagewright.operators import fold, html_tokens, notes, segment, validate
-from pagewright.plans import overrides, parse
+from pagewright.plans import anonymise, overrides, parse
 from pagewright.sources import corpus, html_files, typst
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -490,13 +490,37 @@ def typst_inline(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", typst.inline(text, found, F.lit(False)).alias("typst"))
 
 
-@query()
-def parse_end_to_end(spark, sf_dir):
-    """Documents in a known layout, made from pages' numbers, through the whole plan."""
+def known_pages(spark, sf_dir) -> DataFrame:
+    """Pages in a layout that the parser knows."""
     k = F.col("page_id").cast("string")
     html = F.concat(
         F.lit('<div class="vaticanrichtext"><p><b>ENCYCLICAL LETTER<br>SPES '), k, F.lit("<br>LEO XIV<br>ON HOPE</b></p><p><b>CHAPTER ONE</b></p><p><b>THE WAY</b></p><p>1. <i>Spes</i> first"),
         F.lit('<a href="#_ftn1" name="_ftnref1">[1]</a>.</p><p>More of it.</p><p>2. Second.</p><p><i>Given in Rome, on 3 May, in the year 2001.</i></p><p><b>LEO PP. XIV</b></p><hr><p><a href="#_ftnref1" name="_ftn1">[1]</a> A note.</p></div>'),
     )
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("spes-"), k).alias("slug"), html.alias("html"), F.col("url").alias("source_url"))
-    return parse.parse(pages).select("title_slug", "title", "pope", "promulgated", F.size("paragraphs").alias("n_paragraphs"), F.size("footnotes").alias("n_footnotes"), "source_url")
+    return table(spark, sf_dir, "pages").select(F.concat(F.lit("spes-"), k).alias("slug"), html.alias("html"), F.col("url").alias("source_url"))
+
+
+@query("SELECT 'spes-' || CAST(page_id AS VARCHAR) AS title_slug, 'Spes ' || CAST(page_id AS VARCHAR) AS title, 'Leo XIV' AS pope, DATE '2001-05-03' AS promulgated, CAST(5 AS INTEGER) AS n_paragraphs, CAST(1 AS INTEGER) AS n_footnotes, url AS source_url FROM pages")
+def parse_end_to_end(spark, sf_dir):
+    """Documents in a known layout, made from pages' numbers, through the whole plan."""
+    return parse.parse(known_pages(spark, sf_dir)).select("title_slug", "title", "pope", "promulgated", F.size("paragraphs").alias("n_paragraphs"), F.size("footnotes").alias("n_footnotes"), "source_url")
+
+
+@query()
+def corpus_text(spark, sf_dir):
+    """Parsed documents as corpus files; YAML has no SQL form."""
+    return corpus.render(normalize.normalize(parse.parse(known_pages(spark, sf_dir)))).select("title_slug", "path", "text")
+
+
+@query()
+def typst_source(spark, sf_dir):
+    """Corpus files read again and written as Typst source."""
+    files = corpus_text(spark, sf_dir).select("path", F.col("text").alias("raw")).persist()
+    return typst.emit(corpus.read(files), F.lit("2020-01-01").cast("date"))
+
+
+@query(f"SELECT doc_id, pos, part FROM (SELECT doc_id, pos, CASE WHEN t = '' THEN 'other' WHEN pos >= 20 THEN 'note' WHEN t LIKE 'Given in%' THEN 'dateline' WHEN t LIKE '%. Text' THEN 'numbered' ELSE 'other' END AS part FROM {LINE_TOKENS})")
+def stand_in_parts(spark, sf_dir):
+    """What each paragraph is to the stand-in prose."""
+    rows = line_tokens(spark, sf_dir).withColumns({"has_own_text": F.lit(True), "text_raw": F.col("text_stripped"), "md": F.col("text_stripped")})
+    return anonymise.anonymise(rows, "doc_id").select("doc_id", "pos", "part")

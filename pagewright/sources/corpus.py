@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from pathlib import Path
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,12 +88,27 @@ def write(rendered: DataFrame, folder: str, mode: str = "errorifexists") -> None
     rendered.select("author_slug", F.col("text").alias("value")).write.mode(mode).option("lineSep", "\x00").partitionBy("author_slug").text(folder)
 
 
+def write_files(rows: DataFrame, root: str) -> None:
+    """A file for each row of path and text, under a folder that all executors share. Files are
+    put in place by renaming, so a task that runs twice leaves the same files."""
+
+    def put(part) -> None:
+        for r in part:
+            target = Path(root, r["path"])
+            target.parent.mkdir(parents=True, exist_ok=True)
+            draft = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
+            draft.write_text(r["text"], encoding="utf-8", newline="\n")
+            draft.replace(target)
+
+    rows.select("path", "text").foreachPartition(put)
+
+
 # ---- reading ----
 
 
-def scan(spark: SparkSession, pattern: str) -> DataFrame:
+def scan(spark: SparkSession, pattern: str | list[str]) -> DataFrame:
     """path and raw text of each file, in no order; sort by path for a listing."""
-    return spark.read.option("wholetext", True).text(pattern).select(F.input_file_name().alias("path"), F.col("value").alias("raw"))
+    return spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("raw"))
 
 
 def split(raw: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pagewright.functions.text import derive_slug
 
 def scan(spark: SparkSession, pattern: str) -> DataFrame:
     """slug and html of each file: a whole file is a row, its name without .html the slug."""
-    return spark.read.option("wholetext", True).text(pattern).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.html?)?$", 1).alias("slug"), F.col("value").alias("html"))
+    return spark.read.text(pattern, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.html?)?$", 1).alias("slug"), F.col("value").alias("html"))
 
 
 def preferred(first: DataFrame, second: DataFrame, key: str = "slug", value: str = "html") -> DataFrame:

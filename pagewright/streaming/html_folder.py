@@ -12,7 +12,7 @@ from pagewright.plans import overrides, parse
 
 def source(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """slug, html and source_url of new files; files_per_trigger bounds a batch."""
-    rows = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger).schema("value string").text(folder)
+    rows = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).schema("value string").text(folder, wholetext=True)
     return rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.html?)?$", 1).alias("slug"), F.col("value").alias("html"), F.lit(None).cast("string").alias("source_url"))
 
 

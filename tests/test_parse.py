@@ -177,9 +177,9 @@ def test_sources(spark, tmp_path):
     assert html_files.fetch(["http://x/one.html", "http://x/two.html"], str(a), lambda u: u.encode(), lambda u: "two" not in u, 0) == [("http://x/two.html", "robots.txt disallows http://x/two.html")]
     b.mkdir()
     (b / "one.html").write_text("fixture")
-    (b / "three.html").write_text("fixture")
+    (b / "three.html").write_text("fix\nture")
     rows = html_files.preferred(html_files.scan(spark, str(a)), html_files.scan(spark, str(b)))
-    assert {r.slug: r.html for r in rows.collect()} == {"one": "http://x/one.html", "three": "fixture"}
+    assert {r.slug: r.html for r in rows.collect()} == {"one": "http://x/one.html", "three": "fix\nture"}
 
 
 def test_stream(spark, tmp_path):
