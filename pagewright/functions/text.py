@@ -31,6 +31,15 @@ SLUG_PATTERNS = (r"^hf_[a-z-]+_enc_\d+_(.+)$", r"^papa-francesco_\d+_enciclica-(
 RUBRIC = "ENCYCLICAL LETTER"
 RUBRIC_STARTS = ("OF THE SUPREME PONTIFF", "OF HIS HOLINESS", "OF THE HOLY FATHER")
 RUBRIC_LINES = ("HOLY FATHER", "SUPREME PONTIFF")
+NUMBERED = r"""(?U)^\s*\*{0,2}\s*(\d{1,4})\.\*{0,2}\s*(?=[A-Za-z“”"‘’'(\[*])"""
+ROMAN_HEADING = r"^([IVXLCDM]+)\.\s+(.+)$"
+NAMED = r"^[A-Z][A-Za-z'’]*(?:\s+[A-Z][A-Za-z'’]*)?\s+(?:PP\.\s+)?[IVXLCDM]+$"
+QUOTED_TITLE = r"(?U)^[«‹]\s*(.+?)\s*[»›]$"
+MONTH = "|".join(MONTHS)
+BY_ORDINAL = rf"\bthe\s+([a-z-]+?)(?:\s+day)?\s+of\s+({MONTH})\b.*?(\d{{4}})"
+BY_DAY = rf"\b(\d{{1,2}})(?:st|nd|rd|th)?\s+(?:day\s+of\s+)?({MONTH})\b.*?(\d{{4}})"
+BY_MONTH = rf"\b({MONTH})\s+(\d{{1,2}})(?:st|nd|rd|th)?\b.*?(\d{{4}})"
+URL_PATTERNS = (r'(?i)<link\b[^>]*rel="canonical"[^>]*href="([^"]+)"', r'(?i)<link\b[^>]*href="([^"]+)"[^>]*rel="canonical"', r'(?i)<meta\b[^>]*property="og:url"[^>]*content="([^"]+)"')
 SIGNATURE_LENGTH, SIGNATURE_RATIO, TITLE_LENGTH = 60, 0.7, 400
 
 #: White space as Python strips it.
@@ -93,9 +102,6 @@ def clean_heading(text: Column) -> Column:
     return strip(folded(folded(F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1"), r"\[\^\d+\]"), r"\*"))
 
 
-NUMBERED = r"""(?U)^\s*\*{0,2}\s*(\d{1,4})\.\*{0,2}\s*(?=[A-Za-z“”"‘’'(\[*])"""
-
-
 def paragraph_number(text: Column) -> Column:
     """The number that a paragraph starts with, else null."""
     return F.regexp_extract(text, NUMBERED, 1).try_cast("int")
@@ -147,9 +153,6 @@ def chapter_numeral(text: Column) -> Column:
     return F.coalesce(spelt, F.when(F.rlike(upper, F.lit(r"^[IVXLCDM]+$|^\d+$")), upper))
 
 
-ROMAN_HEADING = r"^([IVXLCDM]+)\.\s+(.+)$"
-
-
 def roman_heading(text: Column) -> Column:
     """'IV. Title' without periods at its end, else null."""
     title = F.regexp_replace(strip(F.regexp_extract(text, ROMAN_HEADING, 2)), r"\.+$", "")
@@ -179,9 +182,6 @@ def is_written_signature(text: Column) -> Column:
 
 # ---- dates ----
 
-MONTH = "|".join(MONTHS)
-
-
 def dateline_date(text: Column) -> Column:
     """The date in a dateline: ordinal words, day and month, or month and day, in this order; the
     year is the next run of four digits. Null if there is none or the day doesn't exist."""
@@ -198,9 +198,9 @@ def dateline_date(text: Column) -> Column:
 
     def found(plain: Column) -> Column:
         return F.coalesce(
-            form(plain, rf"\bthe\s+([a-z-]+?)(?:\s+day)?\s+of\s+({MONTH})\b.*?(\d{{4}})", 1, 2, True),
-            form(plain, rf"\b(\d{{1,2}})(?:st|nd|rd|th)?\s+(?:day\s+of\s+)?({MONTH})\b.*?(\d{{4}})", 1, 2),
-            form(plain, rf"\b({MONTH})\s+(\d{{1,2}})(?:st|nd|rd|th)?\b.*?(\d{{4}})", 2, 1),
+            form(plain, BY_ORDINAL, 1, 2, True),
+            form(plain, BY_DAY, 1, 2),
+            form(plain, BY_MONTH, 2, 1),
         )
 
     return let(let(F.replace(text, F.lit("*"), F.lit("")), found), lambda ymd: F.try_to_date(F.array_join(ymd, "-"), "yyyy-MM-dd"))
@@ -215,10 +215,6 @@ def roman(number: Column) -> Column:
 
 # ---- title blocks ----
 
-#: One or two names, perhaps PP., and a Roman numeral.
-NAMED = r"^[A-Z][A-Za-z'’]*(?:\s+[A-Z][A-Za-z'’]*)?\s+(?:PP\.\s+)?[IVXLCDM]+$"
-
-
 def unpope(text: Column) -> Column:
     return F.regexp_replace(text, r"(?iU)^pope\s+", "")
 
@@ -252,7 +248,7 @@ def title_block(lines: Column) -> Column:
         )
 
     kept = F.filter(F.transform(lines, strip_markup), lambda x: ~is_rubric_line(x))
-    return let(F.transform(kept, lambda x: F.coalesce(matched(x, r"(?U)^[«‹]\s*(.+?)\s*[»›]$"), x)), slots)
+    return let(F.transform(kept, lambda x: F.coalesce(matched(x, QUOTED_TITLE), x)), slots)
 
 
 def incipit(first_paragraph: Column, title: Column) -> Column:
@@ -274,8 +270,7 @@ def incipit(first_paragraph: Column, title: Column) -> Column:
 
 def source_url(html: Column) -> Column:
     """The canonical link in a page's own head, else its og:url, else ''."""
-    patterns = (r'(?i)<link\b[^>]*rel="canonical"[^>]*href="([^"]+)"', r'(?i)<link\b[^>]*href="([^"]+)"[^>]*rel="canonical"', r'(?i)<meta\b[^>]*property="og:url"[^>]*content="([^"]+)"')
-    return F.coalesce(*(matched(html, p) for p in patterns), F.lit(""))
+    return F.coalesce(*(matched(html, p) for p in URL_PATTERNS), F.lit(""))
 
 
 # ---- summaries ----
