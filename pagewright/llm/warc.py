@@ -5,11 +5,11 @@ payloads of at least ``min_bytes`` the smallest key keeps its payload as a respo
 become revisit records that name it. Payloads move once, by their unique key, to meet their record
 type, so a payload that a third of the pages share is not gathered anywhere.
 
-Archives are plain WARC/1.1 files. Spark's text writer makes them: a row is a whole record and the
+Archives are WARC/1.1 files, each compressed with gzip as a whole. Spark's text writer makes them: a row is a whole record and the
 line separator is the blank lines that end it, so they are committed like any other Spark output, in
-any store, and a lost executor's files are not left behind. Files hold about FILE_BYTES.
+any store, and a lost executor's files are not left behind. Files hold about FILE_BYTES unpacked.
 
-Reading. Files are read as binary and cut by Content-Length, never by looking for separators, and
+Reading. Files, packed or plain, are read as binary and cut by Content-Length, never by looking for separators, and
 digests are checked. Revisit records are joined to the responses of their digest, which gives them
 the payload's length and the key of the response.
 
@@ -22,6 +22,7 @@ of any length up to a file's limit (2 GB) are carried whole. An empty table writ
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -72,7 +73,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", uri: str = "url", p
     mean = pages.agg(F.avg(F.coalesce(F.octet_length(payload), F.lit(0)))).first()[0] or 0
     rows = marked(pages.select(key, uri, payload), key, payload, min_bytes)
     text = record(F.col(key), F.col(uri), F.col(payload), F.col("digest"), F.col("bytes"), F.col("refers_to"), date)
-    rows.select(text.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", max(1, int(file_bytes // (mean + 512)))).text(path)
+    rows.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(file_bytes // (mean + 512)))).text(path)
 
 
 RECORD = T.StructType([T.StructField("record_id", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("uri", T.StringType()), T.StructField("date", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("refers_to", T.StringType()), T.StructField("length", T.LongType()), T.StructField("payload", T.BinaryType())])
@@ -108,6 +109,7 @@ def read(spark, path: str, keep_payload: bool = True) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 data = content.as_buffer().to_pybytes()
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 rows, held = [], 0
 
                 def out() -> pa.RecordBatch:
@@ -153,7 +155,7 @@ def rewrite(spark, source: str, target: str, min_bytes: int = MIN_BYTES, date: s
     full = needed.join(bodies, ["digest", "held_by"], "left").drop("held_by")
     rows = full.unionByName(kept.where("refers_to IS NOT NULL").withColumn("payload", F.lit(None).cast("string")))
     text = record(F.col("id"), F.col("target"), F.col("payload"), F.col("digest"), F.col("bytes"), F.col("refers_to"), date)
-    rows.select(text.alias("value")).write.option("lineSep", END).text(target)
+    rows.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip").text(target)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
