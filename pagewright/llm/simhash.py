@@ -230,7 +230,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
 #: 512 bits over five-word shingles. They differ by 78 on average at a similarity of 0.8 (by 8 more
 #: or less), by 98 at 0.7 and by 118 at 0.6.
-WIDE_WORDS, WIDE_WIDTH, WIDE_RADIUS, TABLES = 8, 5, 88, 32
+WIDE_WORDS, WIDE_WIDTH, WIDE_RADIUS, TABLES = 8, 5, 90, 32
 
 
 def bit_sums(hashes: np.ndarray, words: int) -> np.ndarray:
