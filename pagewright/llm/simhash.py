@@ -14,11 +14,14 @@ discarded, and only survivors are verified. A search visits each fingerprint onc
 it has reached, so that a dense group yields a spanning forest and never all of its pairs.
 
 Similar texts. Fingerprints of 64 bits can't hold a similarity of 0.8 apart from 0.6, so
-``similar_groups`` links by 512 bits over five-word shingles (WIDE_RADIUS of them differ at a
-similarity just below 0.8), and takes its keys from a fingerprint of each text's set of words, which a few
-changed words leave nearly alone: TABLES keys of randomly chosen bits of it, more bits for more
-texts. The search within a key is the same, on the wide fingerprints. Its recall is measured in the
-tests and stated in the README.
+``similar_groups`` takes the set of each text's five-word shingles. Its keys can't miss: in any
+fixed order of shingles, two sets of a similarity of 0.8 share one of their first fifths (and one
+shingle more), at every size of the corpus. The order is from rare to common, by counts over a
+sample of texts, which decides the cost and never the result. Within a key, pairs go whose sizes, or
+the shingles left after the common one, rule the similarity out. First each text meets its
+neighbours by size; keys of more rows then give all their other pairs that are not in one component
+yet, so that a dense group doesn't yield all of its pairs. Survivors are linked if their wide
+fingerprints (512 bits) differ in WIDE_RADIUS bits at most.
 
 Components. Minimum labels travel along the forest's edges with pointer jumping, in DataFrames that
 are cut by checkpoints; nothing about single documents reaches the driver.
@@ -230,7 +233,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
 #: 512 bits over five-word shingles. They differ by 78 on average at a similarity of 0.8 (by 8 more
 #: or less), by 98 at 0.7 and by 118 at 0.6.
-WIDE_WORDS, WIDE_WIDTH, WIDE_RADIUS, TABLES = 8, 5, 90, 32
+WIDE_WORDS, WIDE_WIDTH, WIDE_RADIUS = 8, 5, 90
 
 
 def bit_sums(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -250,17 +253,27 @@ def bit_sums(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.concatenate(total)
 
 
-def word_set_and_wide(text: bytes) -> tuple[int, bytes]:
-    """The fingerprint of the set of words, and the wide one of five-word shingles."""
+def wide_print(sets: np.ndarray, n: int) -> list[int]:
+    """The wide fingerprint of the hashes of all shingles, repeats included."""
+    return np.packbits(2 * bit_sums(sets, WIDE_WORDS) > n).view(np.int64).tolist()
+
+
+#: Texts of SHARED[0] common shingles in SHARED[1] of both are similar; candidates are all such pairs.
+SHARED = (4, 5)
+
+#: Documents, one in so many at least, whose shingles are counted, and the counts that are kept.
+SAMPLE, SAMPLE_PART, COMMON = 1 << 15, 64, 1 << 17
+
+
+def shingle_set(text: bytes) -> tuple[np.ndarray, list[int]]:
+    """The distinct hashes of a text's five-word shingles, in order, and the wide fingerprint."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     words = text.translate(LOWER).split()
     if not words:
-        return 0, bytes(8 * WIDE_WORDS)
+        return np.zeros(0, np.uint64), [0] * WIDE_WORDS
     each = {w: digest(w, SEED) for w in set(words)}
-    own = np.fromiter(each.values(), np.uint64, len(each))
-    narrow = int.from_bytes(np.packbits(2 * bit_sums(own, 1) > len(own)).tobytes(), "little", signed=True)
     # A shingle's hash is a mix of its words' hashes in order.
     row = np.fromiter((each[w] for w in words), np.uint64, len(words))
     n = max(1, len(row) - WIDE_WIDTH + 1)
@@ -268,28 +281,179 @@ def word_set_and_wide(text: bytes) -> tuple[int, bytes]:
     for k in range(min(WIDE_WIDTH, len(row))):
         shingles = (shingles ^ row[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         shingles ^= shingles >> np.uint64(32)
-    return narrow, np.packbits(2 * bit_sums(shingles, WIDE_WORDS) > n).tobytes()
+    return np.unique(shingles), wide_print(shingles, n)
+
+
+def common_shingles(sets: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of the shingles that a sample of n texts holds most often."""
+    part = sets.where(F.pmod("node", F.lit(max(1, min(n // SAMPLE, SAMPLE_PART)))) == 0)
+    counts = written(part.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "shingle_counts")
+    least, total = 2, 0
+    for r in counts.groupBy(F.least("n", F.lit(1 << 12)).alias("n")).agg(F.count("*").alias("m")).orderBy(F.desc("n")).toLocalIterator():
+        total += r.m
+        if total > COMMON:
+            least = r.n + 1
+            break
+    found = counts.where(F.col("n") >= least).toArrow()
+    hashes, n_of = found["s"].to_numpy(), found["n"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n_of[order]
+
+
+def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key, node, size, place: the rarest shingles of each set, so many that similar sets share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = common
+        seen: set[int] = set()
+        for batch in batches:
+            lists = batch.column("shingles")
+            ends, values = lists.offsets.to_numpy().tolist(), lists.values.to_numpy()
+            keys, nodes, sizes, places = [], [], [], []
+            for node, a, b in zip(batch.column("node").to_pylist(), ends, ends[1:]):
+                if a == b or node in seen:
+                    continue
+                seen.add(node)
+                own = np.sort(values[a:b])
+                held = (b - a) - ((b - a) * SHARED[0] + SHARED[1] - 1) // SHARED[1] + 1
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                    own = own[np.argsort(np.where(hashes[at] == own, counts[at], 0), kind="stable")]
+                keys.append(own[:held])
+                nodes.append(np.full(held, node, np.int64))
+                sizes.append(np.full(held, b - a, np.int32))
+                places.append(np.arange(held, dtype=np.int32))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes, places)], ["key", "node", "size", "place"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "key long, node long, size int, place int")
+
+
+def by_key(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "size", "node")
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows that are sorted by the first, key, cut only between keys."""
+    pending: list[list[np.ndarray]] = []
+    for batch in batches:
+        row = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(row[0]):
+            continue
+        if pending and row[0][0] == row[0][-1] == pending[-1][0][-1]:
+            pending.append(row)  # all of one key: it goes on
+            continue
+        held = [np.concatenate(x) for x in zip(*pending, row)]
+        cut = int(np.searchsorted(held[0], held[0][-1]))
+        if cut:
+            yield [x[:cut] for x in held]
+        pending = [[x[cut:] for x in held]]
+    if pending:
+        yield [np.concatenate(x) for x in zip(*pending)]
+
+
+def may_be_similar(size: np.ndarray, place: np.ndarray, other_size: np.ndarray, other_place: np.ndarray) -> np.ndarray:
+    """Whether two sets can be similar of which a shingle at these places is the first in common."""
+    most = np.minimum(size - place, other_size - other_place).astype(np.int64)
+    return sum(SHARED) * most >= SHARED[0] * (size.astype(np.int64) + other_size)
+
+
+def near_pairs(dealt: DataFrame) -> DataFrame:
+    """u, v: candidates among neighbours by size within a key. Rows of keys that have further pairs
+    come as they are, without u and v."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in whole_keys(batches):
+            key, node, _, _ = columns
+            first = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]  # copies in other tasks
+            key, node, size, place = (x[first] for x in columns)
+            us, vs = [], []
+            for apart in range(1, SMALL):
+                at = np.flatnonzero(key[:-apart] == key[apart:])
+                if not len(at):
+                    break
+                at = at[may_be_similar(size[at], place[at], size[at + apart], place[at + apart])]
+                us.append(node[at])
+                vs.append(node[at + apart])
+            if us:
+                u, v = np.concatenate(us), np.concatenate(vs)
+                none = pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int32()), pa.nulls(len(u), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), *none], ["u", "v", "key", "node", "size", "place"])
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            count = np.diff(np.r_[starts, len(key)])
+            large = np.repeat(count > SMALL, count)
+            if large.any():
+                none = pa.nulls(int(large.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, *(pa.array(x[large]) for x in (key, node, size, place))], ["u", "v", "key", "node", "size", "place"])
+
+    return dealt.mapInArrow(run, "u long, v long, key long, node long, size int, place int")
+
+
+def far_pairs(dealt: DataFrame) -> DataFrame:
+    """u, v: all candidates within a key, of rows (key, node, size, place, label) of unlike labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, size, place, label in whole_keys(batches):
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            us, vs, held = [], [], 0
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
+                ends = a + np.searchsorted(size[a:b], size[a:b].astype(np.int64) * SHARED[1] // SHARED[0], "right")
+                for i, end in zip(range(a, b), ends.tolist()):
+                    at = i + 1 + np.flatnonzero(label[i + 1 : end] != label[i])
+                    at = at[may_be_similar(size[i : i + 1], place[i : i + 1], size[at], place[at])]
+                    us.append(np.minimum(node[i], node[at]))
+                    vs.append(np.maximum(node[i], node[at]))
+                    held += len(at)
+                    if held > 1 << 18:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+                        us, vs, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges u, v, in both senses, of the pairs whose wide fingerprints are within the radius."""
+    pairs = written(pairs, "pairs")
+    met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    own = written(sets.join(met, "node", "left_semi").groupBy("node").agg(F.first("wide").alias("wide")), "sets")
+    both = pairs.join(own.select(F.col("node").alias("u"), F.col("wide").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("wide").alias("b")), "v")
+    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    found = both.where(apart <= WIDE_RADIUS).select("u", "v")
+    return written(found.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*"), "edges")
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document, key and component: the smallest key among texts that links of a
     similarity of about 0.8 of five-word shingles reach."""
+    import xxhash
+
     kind = docs.schema[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in cut_batches(batch, text):
-                narrow, wide = zip(*map(word_set_and_wide, chunks(part.column(text))))
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(narrow, pa.int64()), pa.array(wide, pa.binary())], [key, "fp", "wide"])
-
-    prints = written(docs.select(key, text).mapInArrow(run, T.StructType([kind, T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType())])), "fingerprints")
-    distinct = prints.groupBy("fp", "wide").agg(F.min(key).alias("label")).where(F.col("label").isNotNull())
-    held = written(distinct.withColumn("node", F.xxhash64("fp", "wide")), "fingerprints")
-    n = held.count()
-    rng = np.random.default_rng(SEED)
-    bits = min(30, max(14, int(np.log2(max(n, 1))) + 1))
-    masks = [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(TABLES)]
-    edges = spanning(dealt_by(held.select("fp", "node", "wide"), masks), WIDE_RADIUS, WIDE_WORDS).checkpoint()
-    moved = components(held.select(F.col("node").alias("fp"), "label"), edges)
-    labels = written(held.join(moved.select(F.col("fp").alias("node"), F.col("label").alias("moved")), "node", "left").select("fp", "wide", F.coalesce("moved", "label").alias("component")), "labels")
-    return prints.join(labels, ["fp", "wide"], "left").select(key, F.coalesce("component", F.col(key)).alias("component"))
+            for part in cut_batches(batch, text, 4 << 20):
+                sets, wide = zip(*(shingle_set(x) for x in chunks(part.column(text))))
+                nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(nodes), lists, pa.array(wide, pa.list_(pa.int64()))], [key, "node", "shingles", "wide"])
+
+    prints = written(docs.select(key, text).mapInArrow(run, T.StructType([kind, T.StructField("node", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("wide", T.ArrayType(T.LongType()))])), "shingles")
+    held = written(prints.groupBy("node").agg(F.min(key).alias("label")).where(F.col("label").isNotNull()), "nodes")
+    nodes = held.select(F.col("node").alias("fp"), "label")
+    sets = prints.where(F.col(key).isNotNull()).select("node", "shingles", "wide")
+    found = written(near_pairs(by_key(prefixes(sets, common_shingles(sets, held.count())))), "candidates")
+    edges = similar(found.where("u IS NOT NULL").select("u", "v").distinct(), sets)
+    moved = components(nodes, edges)
+    large = found.where("u IS NULL").select("key", "node", "size", "place")
+    if not large.isEmpty():
+        own = written(held.withColumnRenamed("label", "own").join(moved.withColumnRenamed("fp", "node"), "node", "left").select("node", F.coalesce("label", "own").alias("label")), "labels")
+        number = F.xxhash64("label")  # of any type
+        further = similar(far_pairs(by_key(large.join(own.select("node", number.alias("label")), "node").select("key", "node", "size", "place", "label"))), sets)
+        if not further.isEmpty():
+            moved = components(nodes, edges.unionByName(further))
+    labels = written(held.join(moved.select(F.col("fp").alias("node"), F.col("label").alias("moved")), "node", "left").select("node", F.coalesce("moved", "label").alias("component")), "labels")
+    return prints.select(key, "node").join(labels, "node", "left").select(key, F.coalesce("component", F.col(key)).alias("component"))

@@ -294,6 +294,41 @@ def test_similar_groups(spark):
     assert own[3000] == own[3001] == 3000
 
 
+def shingles_of(text):
+    w = text.split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def altered_pairs(r, n):
+    """Pairs of texts, unlike all others, with words appended or a passage replaced: just above and below 0.8."""
+    pairs = []
+    for i in range(n):
+        base = prose(150, r).split(" ")
+        if i % 2:
+            other = base + prose(30 + i // 2 % 9, r).split(" ")
+        else:
+            at = r.randrange(5, 120)
+            other = [*base[:at], *prose(9 + i // 2 % 5, r).split(" "), *base[at + 9 + i // 2 % 5 :]]
+        pairs.append((" ".join(base), " ".join(other)))
+    return pairs
+
+
+def jaccard(a, b):
+    a, b = shingles_of(a), shingles_of(b)
+    return len(a & b), len(a | b)
+
+
+def test_candidates_miss_no_similar_pair(spark):
+    pairs = altered_pairs(random.Random(8), 200)
+    texts = [t for pair in pairs for t in pair]
+    sets = [simhash.shingle_set(t.encode())[0] for t in texts]
+    df = spark.createDataFrame([(i, s.view("int64").tolist()) for i, s in enumerate(sets)], "node long, shingles array<long>")
+    for common in (simhash.common_shingles(df, len(texts)), simhash.common_shingles(df.limit(0), 0)):
+        found = {(x.u, x.v) for x in simhash.near_pairs(simhash.by_key(simhash.prefixes(df, common))).where("u IS NOT NULL").collect()}
+        similar = [i for i, (a, b) in enumerate(pairs) if 5 * jaccard(a, b)[0] >= 4 * jaccard(a, b)[1]]
+        assert 100 < len(similar) < 200 and all((2 * i, 2 * i + 1) in found for i in similar)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
