@@ -20,8 +20,8 @@ shingle more), at every size of the corpus. The order is from rare to common, by
 sample of texts, which decides the cost and never the result. Within a key, pairs go whose sizes, or
 the shingles left after the common one, rule the similarity out. First each text meets its
 neighbours by size; keys of more rows then give all their other pairs that are not in one component
-yet, so that a dense group doesn't yield all of its pairs. Survivors are linked if their wide
-fingerprints (512 bits) differ in WIDE_RADIUS bits at most.
+yet, so that a dense group doesn't yield all of its pairs. Survivors are verified on their whole
+sets, so a link is exact up to equal 64-bit hashes.
 
 Components. Minimum labels travel along the forest's edges with pointer jumping, in DataFrames that
 are cut by checkpoints; nothing about single documents reaches the driver.
@@ -231,48 +231,25 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     return prints.join(labels, "fp", "left").withColumn("component", F.coalesce("component", F.col(key)))
 
 
-#: 512 bits over five-word shingles. They differ by 78 on average at a similarity of 0.8 (by 8 more
-#: or less), by 98 at 0.7 and by 118 at 0.6.
-WIDE_WORDS, WIDE_WIDTH, WIDE_RADIUS = 8, 5, 90
+#: Texts of SHARED[0] common shingles in SHARED[1] of both are similar; so many words make a shingle.
+SHARED, WIDE_WIDTH = (4, 5), 5
 
+#: Documents whose shingles are counted, or one in so many if that is more, and the counts that are kept.
+#: They set the order of shingles and so the cost; links don't depend on them.
+SAMPLE, SAMPLE_PART, COMMON = 1 << 13, 64, 1 << 17
 
-def bit_sums(hashes: np.ndarray, words: int) -> np.ndarray:
-    """How many hashes have each of 64 * words bits, which are the hash's own and remixed ones."""
-    total = []
-    for k in range(words):
-        mixed = hashes
-        if k:
-            mixed = (mixed + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-            mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
-            mixed ^= mixed >> np.uint64(29)
-        sums = np.zeros(64, np.int64)
-        for at in range(0, len(mixed), 1 << 14):
-            part = mixed[at : at + (1 << 14)]
-            sums += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int32)
-        total.append(sums)
-    return np.concatenate(total)
+#: Bits of a set's parities.
+PARITIES = 2048
 
 
-def wide_print(sets: np.ndarray, n: int) -> list[int]:
-    """The wide fingerprint of the hashes of all shingles, repeats included."""
-    return np.packbits(2 * bit_sums(sets, WIDE_WORDS) > n).view(np.int64).tolist()
-
-
-#: Texts of SHARED[0] common shingles in SHARED[1] of both are similar; candidates are all such pairs.
-SHARED = (4, 5)
-
-#: Documents, one in so many at least, whose shingles are counted, and the counts that are kept.
-SAMPLE, SAMPLE_PART, COMMON = 1 << 15, 64, 1 << 17
-
-
-def shingle_set(text: bytes) -> tuple[np.ndarray, list[int]]:
-    """The distinct hashes of a text's five-word shingles, in order, and the wide fingerprint."""
+def shingle_set(text: bytes) -> np.ndarray:
+    """The distinct hashes of a text's five-word shingles, in order."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     words = text.translate(LOWER).split()
     if not words:
-        return np.zeros(0, np.uint64), [0] * WIDE_WORDS
+        return np.zeros(0, np.uint64)
     each = {w: digest(w, SEED) for w in set(words)}
     # A shingle's hash is a mix of its words' hashes in order.
     row = np.fromiter((each[w] for w in words), np.uint64, len(words))
@@ -281,13 +258,38 @@ def shingle_set(text: bytes) -> tuple[np.ndarray, list[int]]:
     for k in range(min(WIDE_WIDTH, len(row))):
         shingles = (shingles ^ row[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         shingles ^= shingles >> np.uint64(32)
-    return np.unique(shingles), wide_print(shingles, n)
+    return np.unique(shingles)
 
 
-def common_shingles(sets: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, and counts of the shingles that a sample of n texts holds most often."""
-    part = sets.where(F.pmod("node", F.lit(max(1, min(n // SAMPLE, SAMPLE_PART)))) == 0)
-    counts = written(part.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "shingle_counts")
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each bit. Two sets' parities differ in as many bits
+    at most as they differ in shingles."""
+    odd = np.bincount((shingles % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def with_sets(rows: DataFrame, text: str) -> DataFrame:
+    """node and shingles of each row: the hash of its set of shingles, and the set."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in cut_batches(batch, text, 4 << 20):
+                sets = [shingle_set(x) for x in chunks(part.column(text))]
+                nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), listed(sets)], ["node", "shingles"])
+
+    return rows.select(text).mapInArrow(run, "node long, shingles array<long>")
+
+
+def listed(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)], dtype=np.int32)), pa.array(np.concatenate(parts).view(np.int64)))
+
+
+def common_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of the shingles that a sample of texts holds most often."""
+    part = docs.where(F.pmod(F.xxhash64(text), F.lit(max(1, min(docs.count() // SAMPLE, SAMPLE_PART)))) == 0)
+    counts = written(with_sets(part, text).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "shingle_counts")
     least, total = 2, 0
     for r in counts.groupBy(F.least("n", F.lit(1 << 12)).alias("n")).agg(F.count("*").alias("m")).orderBy(F.desc("n")).toLocalIterator():
         total += r.m
@@ -300,33 +302,45 @@ def common_shingles(sets: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], n_of[order]
 
 
-def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key, node, size, place: the rarest shingles of each set, so many that similar sets share one."""
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest shingles of a set, so many that similar sets share one."""
+    hashes, counts = common
+    own, n = np.sort(shingles.view(np.int64)), len(shingles)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        own = own[np.argsort(np.where(hashes[at] == own, counts[at], 0), kind="stable")]
+    return own[: n - (n * SHARED[0] + SHARED[1] - 1) // SHARED[1] + 1]
+
+
+def prefixes(docs: DataFrame, key: str, text: str, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key, node, size, odd: the set's parities, and first: its prefix, both empty for a set that the task has met."""
+    import xxhash
+
+    kind = docs.schema[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = common
         seen: set[int] = set()
         for batch in batches:
-            lists = batch.column("shingles")
-            ends, values = lists.offsets.to_numpy().tolist(), lists.values.to_numpy()
-            keys, nodes, sizes, places = [], [], [], []
-            for node, a, b in zip(batch.column("node").to_pylist(), ends, ends[1:]):
-                if a == b or node in seen:
-                    continue
-                seen.add(node)
-                own = np.sort(values[a:b])
-                held = (b - a) - ((b - a) * SHARED[0] + SHARED[1] - 1) // SHARED[1] + 1
-                if len(hashes):
-                    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-                    own = own[np.argsort(np.where(hashes[at] == own, counts[at], 0), kind="stable")]
-                keys.append(own[:held])
-                nodes.append(np.full(held, node, np.int64))
-                sizes.append(np.full(held, b - a, np.int32))
-                places.append(np.arange(held, dtype=np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes, places)], ["key", "node", "size", "place"])
-
-    return sets.select("node", "shingles").mapInArrow(run, "key long, node long, size int, place int")
+            for part in cut_batches(batch, text):
+                nodes, sizes, odd, first = [], [], [], []
+                for of, x in zip(part.column(key).is_valid().to_pylist(), chunks(part.column(text))):
+                    own = shingle_set(x)
+                    node = xxhash.xxh3_64_intdigest(own.tobytes())
+                    nodes.append(node)
+                    sizes.append(len(own))
+                    new = of and node not in seen
+                    if new:
+                        seen.add(node)
+                    odd.append(parities(own) if new else own[:0])
+                    first.append(prefix(own, common) if new else own[:0])
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), listed([x.view(np.int64) for x in odd]), listed([x.view(np.int64) for x in first])], [key, "node", "size", "odd", "first"])
+
+    return docs.select(key, text).mapInArrow(run, T.StructType([kind, *T.StructType.fromDDL("node long, size int, odd array<long>, first array<long>")]))
+
+
+def dealt_prefixes(prints: DataFrame) -> DataFrame:
+    """key, node, size, place: once for each shingle of the prefixes."""
+    return prints.select(F.posexplode("first").alias("place", "key"), "node", "size").select("key", "node", "size", "place")
 
 
 def by_key(rows: DataFrame) -> DataFrame:
@@ -414,45 +428,38 @@ def far_pairs(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges u, v, in both senses, of the pairs whose wide fingerprints are within the radius."""
-    pairs = written(pairs, "pairs")
-    met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    own = written(sets.join(met, "node", "left_semi").groupBy("node").agg(F.first("wide").alias("wide")), "sets")
-    both = pairs.join(own.select(F.col("node").alias("u"), F.col("wide").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("wide").alias("b")), "v")
-    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    found = both.where(apart <= WIDE_RADIUS).select("u", "v")
+def similar(pairs: DataFrame, prints: DataFrame, held: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Edges u, v, in both senses, of the pairs whose sets are similar. Only pairs that their parities
+    don't rule out build their sets, from the texts."""
+
+    def with_both(pairs: DataFrame, own: DataFrame) -> DataFrame:
+        return pairs.join(own.select(F.col("node").alias("u"), F.struct(*own.columns).alias("a")), "u").join(own.select(F.col("node").alias("v"), F.struct(*own.columns).alias("b")), "v")
+
+    apart = F.aggregate(F.zip_with("a.odd", "b.odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    sizes = prints.where(F.size("odd") > 0).groupBy("node").agg(F.first("size").alias("size"), F.first("odd").alias("odd"))
+    left = written(with_both(pairs, sizes).where(apart * sum(SHARED) <= (F.col("a.size") + F.col("b.size")) * (SHARED[1] - SHARED[0])).select("u", "v"), "pairs")
+    met = written(left.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(held, "node"), "met")
+    texts = docs.select(key, text).join(met.select(F.col("label").alias(key)), key, "left_semi")
+    own = written(with_sets(texts, text).join(met, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    shared = F.size(F.array_intersect("a.shingles", "b.shingles"))
+    found = with_both(left, own).where(shared * sum(SHARED) >= (F.size("a.shingles") + F.size("b.shingles")) * SHARED[0])
     return written(found.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*"), "edges")
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document, key and component: the smallest key among texts that links of a
-    similarity of about 0.8 of five-word shingles reach."""
-    import xxhash
-
-    kind = docs.schema[key]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in cut_batches(batch, text, 4 << 20):
-                sets, wide = zip(*(shingle_set(x) for x in chunks(part.column(text))))
-                nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(nodes), lists, pa.array(wide, pa.list_(pa.int64()))], [key, "node", "shingles", "wide"])
-
-    prints = written(docs.select(key, text).mapInArrow(run, T.StructType([kind, T.StructField("node", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("wide", T.ArrayType(T.LongType()))])), "shingles")
+    similarity of 0.8 of five-word shingles reach."""
+    prints = written(prefixes(docs, key, text, common_shingles(docs, text)), "prefixes")
     held = written(prints.groupBy("node").agg(F.min(key).alias("label")).where(F.col("label").isNotNull()), "nodes")
     nodes = held.select(F.col("node").alias("fp"), "label")
-    sets = prints.where(F.col(key).isNotNull()).select("node", "shingles", "wide")
-    found = written(near_pairs(by_key(prefixes(sets, common_shingles(sets, held.count())))), "candidates")
-    edges = similar(found.where("u IS NOT NULL").select("u", "v").distinct(), sets)
+    found = written(near_pairs(by_key(dealt_prefixes(prints))), "candidates")
+    edges = similar(found.where("u IS NOT NULL").select("u", "v").distinct(), prints, held, docs, key, text)
     moved = components(nodes, edges)
     large = found.where("u IS NULL").select("key", "node", "size", "place")
     if not large.isEmpty():
         own = written(held.withColumnRenamed("label", "own").join(moved.withColumnRenamed("fp", "node"), "node", "left").select("node", F.coalesce("label", "own").alias("label")), "labels")
         number = F.xxhash64("label")  # of any type
-        further = similar(far_pairs(by_key(large.join(own.select("node", number.alias("label")), "node").select("key", "node", "size", "place", "label"))), sets)
+        further = similar(far_pairs(by_key(large.join(own.select("node", number.alias("label")), "node").select("key", "node", "size", "place", "label"))), prints, held, docs, key, text)
         if not further.isEmpty():
             moved = components(nodes, edges.unionByName(further))
     labels = written(held.join(moved.select(F.col("fp").alias("node"), F.col("label").alias("moved")), "node", "left").select("node", F.coalesce("moved", "label").alias("component")), "labels")

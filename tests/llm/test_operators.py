@@ -321,14 +321,40 @@ def jaccard(a, b):
 def test_candidates_miss_no_similar_pair(spark):
     pairs = altered_pairs(random.Random(8), 200)
     texts = [t for pair in pairs for t in pair]
-    sets = [simhash.shingle_set(t.encode())[0] for t in texts]
-    df = spark.createDataFrame([(i, s.view("int64").tolist()) for i, s in enumerate(sets)], "node long, shingles array<long>")
-    for common in (simhash.common_shingles(df, len(texts)), simhash.common_shingles(df.limit(0), 0)):
-        found = {(x.u, x.v) for x in simhash.near_pairs(simhash.by_key(simhash.prefixes(df, common))).where("u IS NOT NULL").collect()}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for common in (simhash.common_shingles(df, "text"), simhash.common_shingles(df.limit(0), "text")):
+        prints = simhash.prefixes(df, "doc_id", "text", common)
+        by_node = {x.node: x.doc_id for x in prints.collect()}
+        found = {tuple(sorted((by_node[x.u], by_node[x.v]))) for x in simhash.near_pairs(simhash.by_key(simhash.dealt_prefixes(prints))).where("u IS NOT NULL").collect()}
         similar = [i for i, (a, b) in enumerate(pairs) if 5 * jaccard(a, b)[0] >= 4 * jaccard(a, b)[1]]
         assert 100 < len(similar) < 200 and all((2 * i, 2 * i + 1) in found for i in similar)
 
 
+def test_similar_groups_against_brute_force(spark):
+    r = random.Random(9)
+    texts = [t for pair in altered_pairs(r, 120) for t in pair]
+    base = prose(150, r).split(" ")
+    for _ in range(40):  # one cluster, of which some are linked
+        at = r.randrange(0, 140)
+        texts.append(" ".join([*base[:at], *prose(10, r).split(" "), *base[at + 10 :]]))
+    texts += ["one two three", "one two three", "one two", "", " ", texts[0].upper()]
+    sets = [shingles_of(t.lower()) for t in texts]
+    top = list(range(len(texts)))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) > 0:
+                a_root, b_root = sorted((root(i), root(j)))
+                top[b_root] = a_root
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.component for x in simhash.similar_groups(df).collect()} == {i: root(i) for i in range(len(texts))}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
