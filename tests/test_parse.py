@@ -134,6 +134,14 @@ def test_reader_quirks(spark):
     assert [(r.kind, r.text, r.number) for r in rows] == [("paragraph", "a  ## b", 3), ("continuation", "plain more", None), ("section", "H", None), ("continuation", "under ::: {.unknown}", None)]
 
 
+def test_typst_follows_chains_of_notes():
+    notes = {n: f"note {n} [^{n + 1}]" for n in range(1, 3000)} | {3000: "end", 4000: "a [^4001]", 4001: "b [^4000](c)"}
+    found = typst.markup("x[^1]", notes)
+    assert found.startswith("x#footnote[note 1 #footnote[note 2 ") and found.endswith("#footnote[end" + "]" * 3000) and "missing" not in found
+    once = "#footnote[a #footnote[b #footnote[\\[footnote 4000 missing from corpus\\]]\u200b(c)]]"
+    assert typst.markup("[^4000] [^4000]", notes) == f"{once} {once}"
+
+
 def test_typst_inline():
     notes = {1: "see [^2]", 2: "end", 3: "again [^3]"}
     assert typst.markup("a*b*(c) [^1] [^9] #x", notes) == "a#emph[b]​(c) #footnote[see #footnote[end]] #footnote[\\[footnote 9 missing from corpus\\]] \\#x"
