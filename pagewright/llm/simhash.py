@@ -6,7 +6,8 @@ included. Fewer words than a shingle: one shingle of the whole sequence; none: z
 
 Links. Two fingerprints within ``radius`` bits are linked. Equal fingerprints are collapsed first,
 so copies never meet each other. The 64 bits are cut into blocks; two linked fingerprints agree on
-all but ``radius`` of them, so each set of agreeing blocks is a key of an exchange. Within a key, a
+all but ``radius`` of them, so each set of agreeing blocks is a key of an exchange. Nearly all keys
+have SMALL rows at most, which are all compared. Within a larger key, a
 table holds every fingerprint's Hamming distances to reference fingerprints (pivots): by the
 triangle inequality linked fingerprints differ by ``radius`` at most in every coordinate, so rows
 sorted by the first coordinate are cut to a band, those with a larger difference in another are
