@@ -25,7 +25,7 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand on over 5 % of their source's documents."""
+    """Documents without the lines that stand on over 5 % of their source's documents, and on ten at least."""
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
