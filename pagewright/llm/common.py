@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Largest side, in bytes of its written form, that is broadcast.
 BROADCAST_BYTES = 8 << 20
@@ -65,6 +67,19 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
+#: Rows of an Arrow batch, where the session keeps Spark's own number of 10,000: texts of some KB make
+#: tens of MB of those, in the JVM and again in Python.
+BATCH_ROWS = 2000
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow, by batches of BATCH_ROWS rows at most. A number that the session has set stays."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def chunks(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text of an Arrow string column; null gives b''."""
     column = column.cast(pa.large_binary())
@@ -77,7 +92,7 @@ def chunks(column: pa.Array) -> list[bytes]:
     return found
 
 
-def cut_batches(batch: pa.RecordBatch, column: str, limit: int = 16 << 20):
+def cut_batches(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about limit bytes, one row at least."""
     texts = batch.column(column)
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

@@ -11,13 +11,16 @@ starts of runs, so that no step crosses a separator). All phrases are searched b
 the places found are located by stepping to a sampled suffix. Places become hit words, and hit
 words are merged into removal spans.
 
-Phrases are the broadcast side. They come in blocks of BLOCK windows at most, so its size is bounded
-whatever the benchmark's size; each block is one more narrow pass over the documents, and hits add
-up in a column. No document is shuffled.
+Phrases are the broadcast side. Windows are cut by Spark and come to the driver in blocks of BLOCK at
+most, so the size of a broadcast is bounded whatever the benchmark's and its items' sizes. Each block
+is a narrow pass over the documents, and hits add up in a column; with several blocks the rows are
+written between passes, so that a task never holds more than one index. No document is shuffled.
 
 Null and empty texts have no words; null and empty items have no phrases. Items with a null id hit
-words and are reported as ``null``. Repeated items are one item; repeated documents are judged one
-by one. Empty tables give empty results. Columns of other names pass through.
+words and are reported as ``null``, as an item of that name would be. Repeated items are one item, and
+all items that share a window are reported; repeated documents are judged one by one. Very long texts
+are a shard of their own, whole. Empty tables give empty results. Columns of other names pass through;
+those of the names in FOUND are replaced.
 """
 
 from __future__ import annotations
@@ -32,11 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, cut_batches
+from .common import chunks, cut_batches, lower_ascii, mapped, written
 from .suffixes import suffix_array
 
 WIDTH = 10
-SHARD, SAMPLE, BLOCK = 1 << 20, 16, 1 << 20
+SHARD, SAMPLE, BLOCK = 1 << 20, 16, 1 << 18
+
+#: Bytes of documents that wait for a shard's index, and places that are located together.
+WAITING, LOCATED = 32 << 20, 1 << 16
 
 #: Every byte that no word has becomes a space; A-Z become a-z.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -48,24 +54,29 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Phrases:
-    """The windows of a block of items. Word numbers start at 1; 0 is any other word."""
+    """Windows with the items that have them. Word numbers start at 1; 0 is any other word."""
 
-    def __init__(self, items: list[tuple[str, bytes]], width: int = WIDTH):
+    def __init__(self, windows: list[tuple[list[bytes], list[str]]]):
         self.number: dict[bytes, int] = {}
-        self.names = sorted({name for name, _ in items})
+        self.names = sorted({name for _, held in windows for name in held})
         known = {name: i for i, name in enumerate(self.names)}
-        windows: dict[tuple[int, ...], set[int]] = {}
-        for name, text in items:
-            held = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
-            for a in range(max(1, len(held) - width + 1) if held else 0):
-                windows.setdefault(tuple(held[a : a + width]), set()).add(known[name])
+        own = [([self.number.setdefault(w, len(self.number) + 1) for w in words], sorted(known[x] for x in held)) for words, held in windows]
         self.by_length: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
-        for length in sorted({len(w) for w in windows}):
-            own = [w for w in windows if len(w) == length]
-            self.by_length[length] = (np.array(own, dtype=np.int64), [sorted(windows[w]) for w in own])
+        for length in sorted({len(words) for words, _ in own}):
+            some = [x for x in own if len(x[0]) == length]
+            self.by_length[length] = (np.array([x[0] for x in some], dtype=np.int64), [x[1] for x in some])
         self.shortest = min(self.by_length, default=0)
 
 
+def windows(benchmark: DataFrame, width: int, item: str, text: str) -> DataFrame:
+    """window (its words between spaces) and items, the sorted names of those that have it."""
+    words = F.regexp_extract_all(lower_ascii(F.col(text)), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
+    named = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), words.alias("words")).where(F.size("words") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - width + 1, F.lit(1)))
+    cut = named.select("item", F.explode(F.transform(starts, lambda a: F.array_join(F.slice("words", a, F.lit(width)), " "))).alias("window"))
+    return cut.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
 class FMIndex:
     """Of a text of numbers from 0 (separator) to top, with sampled suffix positions."""
 
@@ -74,7 +85,7 @@ class FMIndex:
         self.n = n
         # A separator sorts by its place, before all words: no comparison runs across one.
         symbols = np.where(text == 0, np.arange(n), text + n)
-        order, _ = suffix_array(symbols)
+        order, _ = suffix_array(symbols, keep_ranks=False)
         before = np.where(order > 0, text[order - 1], 0)
         self.first = np.r_[0, np.cumsum(np.bincount(text, minlength=top + 2))]
         self.levels: list[tuple[np.ndarray, int]] = []
@@ -135,48 +146,40 @@ class FMIndex:
 
 
 class Shard:
-    """Documents' runs of phrase words, waiting for their index."""
+    """Runs of phrase words, each at its place in the words of all waiting documents."""
 
     def __init__(self, phrases: Phrases):
         self.phrases = phrases
         self.parts: list[np.ndarray] = []  # numbers, each run followed by a separator
-        self.rows: list[int] = []
-        self.starts: list[int] = []  # of runs, in their document
+        self.starts: list[int] = []
         self.size = 0
 
-    def add(self, row: int, numbers: np.ndarray) -> None:
-        word = numbers > 0
-        edge = np.flatnonzero(np.diff(np.r_[False, word, False]))
+    def add(self, at: int, numbers: np.ndarray) -> None:
+        """The words of a document, of which the first is at this place."""
+        edge = np.flatnonzero(np.diff(np.r_[False, numbers > 0, False]))
         for a, b in edge.reshape(-1, 2)[np.diff(edge)[::2] >= self.phrases.shortest].tolist():
             self.parts.append(np.r_[numbers[a:b], 0])
-            self.rows.append(row)
-            self.starts.append(a)
+            self.starts.append(at + a)
             self.size += b - a + 1
 
-    def hits(self) -> Iterator[tuple[int, int, int, int]]:
-        """(row, first word, words, item) of every occurrence, items of a window each."""
+    def hits(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(words of a window, places, windows): parallel arrays of occurrences."""
         if not self.parts:
             return
         text = np.concatenate(self.parts)
         begin = np.r_[0, np.cumsum([len(p) for p in self.parts])[:-1]]
+        starts = np.array(self.starts, np.int64)
         index = FMIndex(text, len(self.phrases.number))
-        for length, (windows, items) in self.phrases.by_length.items():
-            found, low, high = index.search(windows)
-            for at in range(0, len(found), 4096):
-                some = slice(at, at + 4096)
+        for length, (numbers, _) in self.phrases.by_length.items():
+            found, low, high = index.search(numbers)
+            part = np.cumsum(high - low) // LOCATED
+            for k in np.unique(part).tolist():
+                some = part == k
                 counts = high[some] - low[some]
-                window = np.repeat(found[some], counts)
                 rows = np.repeat(low[some] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
                 places = index.locate(rows)
                 run = np.searchsorted(begin, places, side="right") - 1
-                for w, r, p in zip(window.tolist(), run.tolist(), (places - begin[run]).tolist()):
-                    for item in items[w]:
-                        yield self.rows[r], self.starts[r] + p, length, item
-
-
-def spans(hit: np.ndarray) -> np.ndarray:
-    """[start, end) of the runs of hit words."""
-    return np.flatnonzero(np.diff(np.r_[False, hit, False])).reshape(-1, 2)
+                yield length, starts[run] + places - begin[run], np.repeat(found[some], counts)
 
 
 def cleaned(text: bytes, cut: list[list[int]]) -> bytes:
@@ -196,86 +199,122 @@ FOUND = [
 ]
 
 
-def search(docs: DataFrame, phrases: Phrases, text: str) -> DataFrame:
-    """One pass: adds to n_words, spans (of hit words) and items what a block of phrases hits."""
-    rest = [f for f in docs.schema.fields if f.name not in {x.name for x in FOUND}]
+class Waiting:
+    """Documents whose hits aren't known yet, and the shard of their words."""
+
+    def __init__(self, phrases: Phrases, text: str):
+        self.phrases, self.text, self.shard = phrases, text, Shard(phrases)
+        self.parts: list[pa.RecordBatch] = []
+        self.counts: list[int] = []  # of words, by document
+        self.words = self.bytes = 0
+
+    def add(self, part: pa.RecordBatch) -> None:
+        own, number = self.phrases, self.phrases.number
+        for x in chunks(part.column(self.text)):
+            words = words_of(x)
+            if own.shortest and len(words) >= own.shortest:
+                self.shard.add(self.words, np.fromiter((number.get(w, 0) for w in words), np.int64, len(words)))
+            self.counts.append(len(words))
+            self.words += len(words)
+        self.parts.append(part)
+        self.bytes += part.nbytes
+
+    def found(self) -> tuple[dict[int, list[list[int]]], dict[int, set[str]]]:
+        """By document: spans of hit words, and items; with those of earlier passes."""
+        first = np.r_[0, np.cumsum(np.array(self.counts, np.int64))]
+        edge = np.zeros(self.words + 1, np.int32)
+        items: dict[int, set[str]] = {}
+        for length, places, window in self.shard.hits():
+            np.add.at(edge, places, 1)
+            np.add.at(edge, places + length, -1)
+            _, held = self.phrases.by_length[length]
+            rows = np.searchsorted(first, places, side="right") - 1
+            for row, w in np.unique(np.stack([rows, window]), axis=1).T.tolist():
+                items.setdefault(row, set()).update(self.phrases.names[i] for i in held[w])
+        row = 0
+        for part in self.parts:
+            if "spans" in part.schema.names:
+                for k, (before, names) in enumerate(zip(part.column("spans").to_pylist(), part.column("items").to_pylist())):
+                    for a, b in before:
+                        edge[first[row + k] + a] += 1
+                        edge[first[row + k] + b] -= 1
+                    if names:
+                        items.setdefault(row + k, set()).update(names)
+            row += part.num_rows
+        hit = np.cumsum(edge[:-1]) > 0
+        spans = {}
+        for row in items:
+            a = first[row]
+            spans[row] = np.flatnonzero(np.diff(np.r_[False, hit[a : first[row + 1]], False])).reshape(-1, 2).tolist()
+        return spans, items
+
+
+def search(docs: DataFrame, phrases: Phrases, text: str, cut: bool = False) -> DataFrame:
+    """One pass: adds to n_words, spans (of hit words) and items what a block of phrases hits; or, if
+    cut, takes all spans out of the text and these columns away."""
+    mine = {x.name for x in FOUND}
+    rest = [f for f in docs.schema.fields if f.name not in mine]
     names = [f.name for f in rest]
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Phrases = shared.value
-        number = own.number
-        waiting: list[tuple[pa.RecordBatch, int, list[int]]] = []
-        shard, rows = Shard(own), 0
-
-        def done() -> Iterator[pa.RecordBatch]:
-            hit: dict[int, dict] = {}
-            for row, a, length, item in shard.hits():
-                held = hit.setdefault(row, {"spans": set(), "items": set()})
-                held["spans"].add((a, a + length))
-                held["items"].add(own.names[item])
-            for part, first, counts in waiting:
-                cut = part.column("spans").to_pylist() if "spans" in part.schema.names else [[] for _ in counts]
-                items = part.column("items").to_pylist() if "items" in part.schema.names else [[] for _ in counts]
-                for row in range(first, first + len(counts)):
-                    if held := hit.get(row):
-                        mask = np.zeros(counts[row - first], bool)
-                        for a, b in [*cut[row - first], *held["spans"]]:
-                            mask[a:b] = True
-                        cut[row - first] = spans(mask).tolist()
-                        items[row - first] = sorted({*items[row - first], *held["items"]})
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(x) for x in names), pa.array(counts, pa.int64()), pa.array(cut, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))],
-                    [*names, *(f.name for f in FOUND)],
-                )
 
+        def done(waiting: Waiting) -> Iterator[pa.RecordBatch]:
+            spans, items = waiting.found()
+            first = 0
+            for part in waiting.parts:
+                here = range(first, first + part.num_rows)
+                first += part.num_rows
+                if cut:
+                    texts = part.column(text)
+                    if any(row in spans for row in here):
+                        texts = pa.array([cleaned(t.encode(), spans[row]).decode() if row in spans else t for row, t in zip(here, texts.to_pylist())], texts.type)
+                    yield pa.RecordBatch.from_arrays([texts if x == text else part.column(x) for x in names], names)
+                else:
+                    added = [pa.array(waiting.counts[here.start : here.stop], pa.int64()), pa.array([spans.get(row, []) for row in here], pa.list_(pa.list_(pa.int64()))), pa.array([sorted(items.get(row, ())) for row in here], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), *added], [*names, *(f.name for f in FOUND)])
+
+        waiting = Waiting(own, text)
         for batch in batches:
             for part in cut_batches(batch, text):
-                counts = []
-                for i, x in enumerate(chunks(part.column(text))):
-                    words = words_of(x)
-                    counts.append(len(words))
-                    if own.shortest and len(words) >= own.shortest:
-                        shard.add(rows + i, np.fromiter((number.get(w, 0) for w in words), np.int64, len(words)))
-                waiting.append((part, rows, counts))
-                rows += len(counts)
-                if shard.size >= SHARD or sum(w[0].nbytes for w in waiting) > 64 << 20:
-                    yield from done()
-                    waiting, shard, rows = [], Shard(own), 0
-        yield from done()
-
-    return docs.mapInArrow(run, T.StructType([*rest, *FOUND]))
+                waiting.add(part)
+                if waiting.shard.size >= SHARD or waiting.bytes > WAITING:
+                    yield from done(waiting)
+                    waiting = Waiting(own, text)
+        yield from done(waiting)
 
+    return mapped(docs, run, T.StructType(rest if cut else [*rest, *FOUND]))
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Adds n_words, spans ([first, last + 1) of hit words, merged) and items (sorted as strings)."""
-    named = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
-    windows = named.agg(F.sum(F.length("text"))).first()[0] or 0  # no item has more windows than characters
-    blocks = max(1, -(-windows // BLOCK))
-    numbered = named.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+
+def passes(docs: DataFrame, benchmark: DataFrame, width: int, text: str, item: str, item_text: str, cut: bool) -> DataFrame:
+    """A pass for each block of windows; the last one cuts, if asked for."""
+    held = windows(benchmark, width, item, item_text)
+    blocks = max(1, -(-held.count() // BLOCK))
+    if blocks > 1:
+        held = written(held.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks))), "windows")
     found = docs.drop(*(f.name for f in FOUND))
     for k in range(blocks):
-        own = numbered.where(F.col("block") == k).select("item", "text").collect()
-        found = search(found, Phrases([(r["item"], r["text"].encode()) for r in own], width), text)
+        own = held.where(F.col("block") == k) if blocks > 1 else held
+        phrases = Phrases([(r["window"].encode().split(b" "), r["items"]) for r in own.select("window", "items").collect()])
+        last = k + 1 == blocks
+        found = search(found, phrases, text, cut and last)
+        found = found if last else written(found, "hits")
     return found
 
 
+def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Adds n_words, spans ([first, last + 1) of hit words, merged) and items (sorted as strings)."""
+    return passes(docs, benchmark, width, text, item, item_text, cut=False)
+
+
 def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str = "text") -> DataFrame:
-    """The documents with hit spans cut out of their text; other columns as they were."""
-    found = find(docs, benchmark, width, text)
-    schema = docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cuts = batch.column("spans").to_pylist()
-            texts = batch.column(text)
-            if any(cuts):
-                held = texts.to_pylist()
-                texts = pa.array([cleaned(t.encode(), c).decode() if c else t for t, c in zip(held, cuts)], texts.type)
-            yield pa.RecordBatch.from_arrays([texts if f.name == text else batch.column(f.name) for f in schema.fields], schema.names)
-
-    return found.mapInArrow(run, schema)
+def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents with hit spans cut out of their text; other columns as they were. Columns named
+    as in FOUND pass through."""
+    mine = {f.name: f"_own_{f.name}" for f in FOUND if f.name in docs.columns}
+    cut = passes(docs.withColumnsRenamed(mine), benchmark, width, text, item, item_text, cut=True)
+    return cut.withColumnsRenamed({v: k for k, v in mine.items()}).select(*docs.columns)

@@ -11,8 +11,11 @@ their slots by joining on rank within length.
 Ranks are taken per (length, salt) and shifted by the counts of the salts before, so that a length
 that a third of the pieces share is ranked in many tasks.
 
-Null and empty texts are one piece that holds the end id alone. Rows with a null or repeated key
-are packed like any other. An empty table gives an empty result.
+Null and empty texts are one piece that holds the end id alone. Texts of any length are cut into as
+many pieces as they need. Pieces of equal length are ranked in the order of key, piece and what else
+their rows hold. Rows with a null or repeated key are packed like any other, and are spread by their own hash. An
+empty table gives an empty result. Of the documents only the key and the text are read, so their other
+columns, of whatever names, have no effect.
 """
 
 from __future__ import annotations
@@ -29,13 +32,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, cut_batches, written
+from .common import chunks, cut_batches, mapped, written
 
 #: Pieces of one length that one task ranks, about.
 RANKED_TOGETHER = 200_000
 
-#: Chunks, and words, that each of the two generations of a worker's memory holds.
-CHUNKS, WORDS = 100_000, 350_000
+#: Bytes, about, that each of the two generations of a worker's memory of chunks, and of words, takes,
+#: with what Python needs for an entry. Longer chunks than REMEMBERED are encoded each time.
+CHUNKS, WORDS, ENTRY, REMEMBERED = 18 << 20, 36 << 20, 200, 1024
 
 #: Letters that NFC leaves alone and that lower-case one by one, then signs. Whatever else a
 #: chunk holds, the tokenizer itself gets it whole.
@@ -50,10 +54,11 @@ def byte_letters() -> dict[int, str]:
 
 
 class Memory:
-    """Values by key, in two generations: what wasn't asked for since the last change goes."""
+    """Values by key, in two generations of limit bytes each, about: what wasn't asked for since the
+    last change goes."""
 
     def __init__(self, make, limit: int):
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.held = make, limit, 0
         self.new: dict = {}
         self.old: dict = {}
 
@@ -62,9 +67,12 @@ class Memory:
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
-        if len(self.new) >= self.limit:
-            self.old, self.new = self.new, {}
+        if len(key) > REMEMBERED:
+            return found
+        if self.held >= self.limit:
+            self.old, self.new, self.held = self.new, {}, 0
         self.new[key] = found
+        self.held += len(key) + len(found) + ENTRY
         return found
 
 
@@ -72,14 +80,15 @@ class WordTokenizer:
     """The ids of texts by a word-level BPE file, remembered per white-space chunk.
 
     The file drops white space, so no token crosses it and a text's ids are those of its chunks
-    in turn. Chunks of plain letters and signs go to the model at once; others to the tokenizer.
+    in turn. Chunks of plain letters and signs go to the model at once; others to the tokenizer,
+    special tokens among them, which hold letters between signs and no white space. The strings of
+    special tokens get their ids, as the library's own call gives them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.chunks, self.words = Memory(self.chunk, CHUNKS), Memory(self.spelt, WORDS)
@@ -129,7 +138,7 @@ def pieces(docs: DataFrame, path: str, limit: int = 4096, end_id: int | None = 1
                     out.names,
                 )
 
-    return docs.select(key, text).mapInArrow(run, out)
+    return mapped(docs.select(key, text), run, out)
 
 
 def best_fit(histogram: dict[int, int], limit: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -184,11 +193,12 @@ def assign(found: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = best_fit(counts, limit)
     salts = max(8, -(-sum(counts.values()) // RANKED_TOGETHER))
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int"))
+    # By all that a row holds, so that pieces of null or repeated keys are spread as well.
+    salted = found.withColumn("_salt", F.pmod(F.xxhash64(*found.columns), F.lit(salts)).cast("int"))
     per = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = per.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("length", "_salt").orderBy(key, "piece")
+    within = Window.partitionBy("length", "_salt").orderBy(key, "piece", *(x for x in found.columns if x not in (key, "piece", "ids")))
     ranked = salted.withColumn("_rank", F.row_number().over(within) - 1).join(firsts, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_first"))
     # Slot ranges are looked up by length, then by the last range that starts at the rank or before.
     schema = "length long, ranges array<struct<a: long, n: long, seq: long, each: long, at: long>>"

@@ -11,8 +11,8 @@ repeated three-word windows are read off the same array.
 
 Every document is judged alone, so its neighbours and the cut into groups don't matter: no shuffle,
 no state. Nulls and empty texts have no words and fail the base rule. A text of any length is
-sorted whole. Repeated rows are judged one by one. An empty table gives an empty result. Columns of
-other names pass through.
+sorted whole. Repeated rows are judged one by one, and equal texts get equal verdicts. An empty table
+gives an empty result. Columns of other names pass through; those of the names in FIELDS are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import SPACE, chunks, cut_batches
+from .common import SPACE, chunks, cut_batches, mapped
 from .suffixes import common_prefixes, longest_repeats, suffix_array
 
 #: Words that a repeated substring has at least; the part of a document's words that such
@@ -125,4 +125,4 @@ def judge(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT, max
             for part in cut_batches(batch, text, 6 * TOGETHER):
                 yield measured(part)
 
-    return docs.mapInArrow(run, T.StructType([*rest, *FIELDS]))
+    return mapped(docs, run, T.StructType([*rest, *FIELDS]))

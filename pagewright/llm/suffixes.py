@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The order of all suffixes, and ranks by the first 1, 2, 4, ... symbols.
+def suffix_array(symbols: np.ndarray, keep_ranks: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The order of all suffixes, and, if keep_ranks, ranks by the first 1, 2, 4, ... symbols.
 
     Symbols are non-negative; a suffix that ends is smaller than any that goes on. Ranks of equal
     prefixes are equal, so two suffixes agree on 2 ** k symbols where ranks[k] agrees (and neither
@@ -21,7 +21,7 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     new = np.r_[True, held[1:] != held[:-1]]
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank[order] = first + 1
-    ranks = [rank.astype(np.int32)]
+    ranks = [rank.astype(np.int32)] if keep_ranks else []
     open_at = np.flatnonzero(~(new & np.r_[new[1:], True]))  # places in groups of several
     step = 1
     while len(open_at):
@@ -36,9 +36,9 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         order[open_at] = rows
         new_key = np.r_[True, key[1:] != key[:-1]]
         first = np.maximum.accumulate(np.where(new_key, open_at, 0))
-        rank = rank.copy()
         rank[rows] = first + 1
-        ranks.append(rank.astype(np.int32))
+        if keep_ranks:
+            ranks.append(rank.astype(np.int32))
         open_at = open_at[~(new_key & np.r_[new_key[1:], True])]
         step *= 2
     return order, ranks
