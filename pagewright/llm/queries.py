@@ -54,8 +54,7 @@ def op5_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         edit(place(3), F.lit(0), F.substring("text", 1, 25)),
         edit(place(4), F.lit(12), F.lit("")),
     )
-    counted = token_counts.build(docs, vocabulary()).withColumnRenamed("n_tokens", "n_before").withColumn("edits", edits)
-    return token_counts.update(counted, vocabulary()).select("doc_id", "n_before", F.col("n_tokens").alias("n_after"), F.length("text").cast("long").alias("n_chars"), "n_encoded")
+    return token_counts.counted(docs.withColumn("edits", edits), vocabulary()).select("doc_id", "n_before", F.col("n_tokens").alias("n_after"), F.length("text").cast("long").alias("n_chars"), "n_encoded")
 
 
 def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ smallest key. An empty table gives an empty result. Columns of other names pass
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, chunks, cut_batches, written
+from .common import LOWER, chunks, cut_batches, mapped, written
 
 SEED = 42
 
@@ -93,7 +93,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 4) -> DataFra
                 fps = pa.array([fingerprint(x, width) for x in chunks(part.column(text))], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in rest), fps], [*(f.name for f in rest), "fp"])
 
-    return docs.mapInArrow(run, T.StructType([*rest, T.StructField("fp", T.LongType())]))
+    return mapped(docs, run, T.StructType([*rest, T.StructField("fp", T.LongType())]))
 
 
 def block_keys(n: int, radius: int) -> tuple[list[int], int]:
@@ -144,6 +144,36 @@ def forest(fps: np.ndarray, radius: int, refs: np.ndarray) -> list[tuple[int, in
     return edges
 
 
+#: Rows of several batches that are looked at together.
+TOGETHER = 1 << 16
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], columns: Callable[[pa.RecordBatch], list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows that are sorted by the first, key, cut only between keys: about TOGETHER
+    rows at a time, or a longer key."""
+    pending: list[list[np.ndarray]] = []
+    held = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        row = columns(batch)
+        pending.append(row)
+        held += len(row[0])
+        if held < TOGETHER or pending[0][0][0] == row[0][-1]:  # few, or all of one key: it goes on
+            continue
+        rows = [np.concatenate(x) for x in zip(*pending)]
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        yield [x[:cut] for x in rows]
+        pending = [[x[cut:] for x in rows]]
+        held = len(pending[0][0])
+    if pending:
+        yield [np.concatenate(x) for x in zip(*pending)]
+
+
+def plain(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+
+
 def spanning(dealt: DataFrame, radius: int, words: int) -> DataFrame:
     """Edges u, v, in both senses, of the rows (key, node, wide) that are sorted by key in their
     partitions; wide: the fingerprint's 8 * words bytes."""
@@ -168,32 +198,21 @@ def spanning(dealt: DataFrame, radius: int, words: int) -> DataFrame:
                     v.append(node[a + y])
             return pa.RecordBatch.from_arrays([pa.array([*u, *v], pa.int64()), pa.array([*v, *u], pa.int64())], ["u", "v"])
 
-        pending: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            key = batch.column("key").to_numpy()
-            if not len(key):
-                continue
-            row = (key, batch.column("node").to_numpy(), np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, words))
-            if pending and key[0] == key[-1] == pending[-1][0][-1]:
-                pending.append(row)  # all of one key: decided when it ends
-                continue
-            held = [np.concatenate(x) for x in zip(*pending, row)]
-            cut = int(np.searchsorted(held[0], held[0][-1]))
-            if cut:
-                yield spans(*(x[:cut] for x in held))
-            pending = [tuple(x[cut:] for x in held)]
-        if pending:
-            yield spans(*(np.concatenate(x) for x in zip(*pending)))
-
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+        def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+            wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, words)
+            return [batch.column("key").to_numpy(), batch.column("node").to_numpy(), wide]
+
+        for held in whole_keys(batches, columns):
+            yield spans(*held)
+
+    return mapped(dealt, run, "u long, v long").distinct()
 
 
 def dealt_by(rows: DataFrame, masks: list[int]) -> DataFrame:
     """rows(fp, node, wide) once for each mask, under the key of the bits of fp that it leaves."""
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select(F.explode(keys).alias("key"), "node", "wide").repartition(parts, "key").sortWithinPartitions("key")
+    return rows.select(F.explode(keys).alias("key"), "node", "wide").repartition("key").sortWithinPartitions("key")
 
 
 def links(distinct: DataFrame, n: int, radius: int) -> DataFrame:
@@ -280,7 +299,7 @@ def with_sets(rows: DataFrame, text: str) -> DataFrame:
                 nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), listed(sets)], ["node", "shingles"])
 
-    return rows.select(text).mapInArrow(run, "node long, shingles array<long>")
+    return mapped(rows.select(text), run, "node long, shingles array<long>")
 
 
 def listed(parts: list[np.ndarray]) -> pa.ListArray:
@@ -336,7 +355,7 @@ def prefixes(docs: DataFrame, key: str, text: str, common: tuple[np.ndarray, np.
                     first.append(prefix(own, common) if new else own[:0])
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), listed([x.view(np.int64) for x in odd]), listed([x.view(np.int64) for x in first])], [key, "node", "size", "odd", "first"])
 
-    return docs.select(key, text).mapInArrow(run, T.StructType([kind, *T.StructType.fromDDL("node long, size int, odd array<long>, first array<long>")]))
+    return mapped(docs.select(key, text), run, T.StructType([kind, *T.StructType.fromDDL("node long, size int, odd array<long>, first array<long>")]))
 
 
 def dealt_prefixes(prints: DataFrame) -> DataFrame:
@@ -345,27 +364,7 @@ def dealt_prefixes(prints: DataFrame) -> DataFrame:
 
 
 def by_key(rows: DataFrame) -> DataFrame:
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "size", "node")
-
-
-def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of rows that are sorted by the first, key, cut only between keys."""
-    pending: list[list[np.ndarray]] = []
-    for batch in batches:
-        row = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if not len(row[0]):
-            continue
-        if pending and row[0][0] == row[0][-1] == pending[-1][0][-1]:
-            pending.append(row)  # all of one key: it goes on
-            continue
-        held = [np.concatenate(x) for x in zip(*pending, row)]
-        cut = int(np.searchsorted(held[0], held[0][-1]))
-        if cut:
-            yield [x[:cut] for x in held]
-        pending = [[x[cut:] for x in held]]
-    if pending:
-        yield [np.concatenate(x) for x in zip(*pending)]
+    return rows.repartition("key").sortWithinPartitions("key", "size", "node")
 
 
 def may_be_similar(size: np.ndarray, place: np.ndarray, other_size: np.ndarray, other_place: np.ndarray) -> np.ndarray:
@@ -379,7 +378,7 @@ def near_pairs(dealt: DataFrame) -> DataFrame:
     come as they are, without u and v."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in whole_keys(batches):
+        for columns in whole_keys(batches, plain):
             key, node, _, _ = columns
             first = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]  # copies in other tasks
             key, node, size, place = (x[first] for x in columns)
@@ -402,14 +401,14 @@ def near_pairs(dealt: DataFrame) -> DataFrame:
                 none = pa.nulls(int(large.sum()), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, *(pa.array(x[large]) for x in (key, node, size, place))], ["u", "v", "key", "node", "size", "place"])
 
-    return dealt.mapInArrow(run, "u long, v long, key long, node long, size int, place int")
+    return mapped(dealt, run, "u long, v long, key long, node long, size int, place int")
 
 
 def far_pairs(dealt: DataFrame) -> DataFrame:
     """u, v: all candidates within a key, of rows (key, node, size, place, label) of unlike labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, size, place, label in whole_keys(batches):
+        for key, node, size, place, label in whole_keys(batches, plain):
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             us, vs, held = [], [], 0
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
@@ -426,7 +425,7 @@ def far_pairs(dealt: DataFrame) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return mapped(dealt, run, "u long, v long").distinct()
 
 
 def similar(pairs: DataFrame, prints: DataFrame, held: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:

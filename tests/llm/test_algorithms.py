@@ -123,7 +123,7 @@ def test_tokens_and_edits(whole):
             a = min(max(0, at), len(counted.text))
             want = counted.text[:a] + put + counted.text[a + removed :]
             counted.edit(at, removed, put)
-            counted.tree = token_counts.Tree.stored(counted.tree.chars, counted.tree.tokens)
+            counted = token_counts.Counted.stored(counted.text, counted.tree.chars, counted.tree.tokens, tokenizer)
             assert (counted.text, counted.tree.chars[1], counted.tree.tokens[1]) == (want, len(want), len(whole(want)))
 
 
@@ -134,6 +134,24 @@ def test_edits_encode_little():
     assert 0 < counted.encoded < 4 * token_counts.LEAF
 
 
+def test_texts_without_white_space_are_cut():
+    rng = random.Random(17)
+    tokenizer = packing.WordTokenizer(VOCABULARY)
+    signs = "".join(chr(rng.randrange(0x4E00, 0x5000)) for _ in range(200)) + "\u3002\uff0c" * 20
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    library = Tokenizer.from_file(VOCABULARY)
+    for letters in (signs, base64):
+        text = "".join(rng.choice(letters) for _ in range(20_000))
+        counted = token_counts.Counted.of(text, tokenizer)
+        for _ in range(40):
+            at, removed, put = rng.randrange(20_000), rng.choice([0, 1, 2]), rng.choice(["", "x", "\u3002", "\u300d", "\u0301", "7", rng.choice(letters)])
+            text = text[:at] + put + text[at + removed :]
+            counted.edit(at, removed, put)
+            assert counted.text == text
+        assert counted.tree.tokens[1] == len(library.encode(text, add_special_tokens=False).ids)
+        assert counted.encoded < 40 * 8 * token_counts.LEAF
+
+
 def linked(fps, radius):
     top = list(range(len(fps)))
 
