@@ -9,7 +9,10 @@ hashes of its boilerplate lines: at most (mean lines a page) / ratio of them, wh
 pages. Pages then drop lines in a projection, without being shuffled where that table is small.
 
 Blank lines are kept and not counted. A null text stays null; a null host is a host of its own. A
-host with fewer than min_pages pages holding a line keeps it. Repeated rows count as pages.
+host with fewer than min_pages pages holding a line keeps it, and so does one where the line's part is
+just the ratio. Repeated rows count as pages; a page's equal lines count once and go together. Texts of
+any length are taken whole. An empty table gives an empty result. Columns of other names pass through;
+those named in ADDED are taken away or replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +25,9 @@ from .common import small, written
 #: A line on a larger part of a host's pages is boilerplate, if on so many pages at least.
 RATIO, MIN_PAGES = 0.05, 10
 
+#: Names that the operator uses for its columns.
+ADDED = ("n_lines", "n_dropped", "host_key", "boiler", "_host", "_kept", "_salt")
+
 #: Parts of a host's pages where the table of hosts is too large to broadcast.
 SALTS = 64
 
@@ -51,7 +57,7 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages:
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", key: str = "doc_id", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """The rows of pages with boilerplate lines taken out of text, and n_lines and n_dropped
     added: lines that aren't blank, and those dropped. All other columns are as they were."""
-    pages = pages.drop("n_lines", "n_dropped", "host_key", "boiler", "_host", "_kept", "_salt")
+    pages = pages.drop(*ADDED)
     found = written(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
     keyed = pages.withColumn("_host", F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")))
     if small(found):

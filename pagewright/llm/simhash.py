@@ -27,9 +27,11 @@ sets, so a link is exact up to equal 64-bit hashes.
 Components. Minimum labels travel along the forest's edges with pointer jumping, in DataFrames that
 are cut by checkpoints; nothing about single documents reaches the driver.
 
-Nulls and empty texts have fingerprint zero and link like any other. Rows without a key take part
-and get the component of their fingerprint. Repeated rows and ties need no rule: the label is the
-smallest key. An empty table gives an empty result. Columns of other names pass through.
+Nulls and empty texts have fingerprint zero and link like any other. Very long texts are read whole.
+Rows without a key take part and get the component of their fingerprint. Repeated rows and ties need
+no rule: the label is the smallest key. An empty table gives an empty result. Columns of other names
+pass through (``near_groups``) and those named fp or component are replaced; ``similar_groups`` returns
+its own columns alone.
 """
 
 from __future__ import annotations
@@ -333,7 +335,8 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.nd
 
 
 def prefixes(docs: DataFrame, key: str, text: str, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key, node, size, odd: the set's parities, and first: its prefix, both empty for a set that the task has met."""
+    """key, text_hash, node, size, odd: the set's parities, and first: its prefix, both empty for a set
+    that the task has met."""
     import xxhash
 
     kind = docs.schema[key]
@@ -353,9 +356,10 @@ def prefixes(docs: DataFrame, key: str, text: str, common: tuple[np.ndarray, np.
                         seen.add(node)
                     odd.append(parities(own) if new else own[:0])
                     first.append(prefix(own, common) if new else own[:0])
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), listed([x.view(np.int64) for x in odd]), listed([x.view(np.int64) for x in first])], [key, "node", "size", "odd", "first"])
+                yield pa.RecordBatch.from_arrays([part.column(key), part.column("text_hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), listed([x.view(np.int64) for x in odd]), listed([x.view(np.int64) for x in first])], out.names)
 
-    return mapped(docs.select(key, text), run, T.StructType([kind, *T.StructType.fromDDL("node long, size int, odd array<long>, first array<long>")]))
+    out = T.StructType([kind, *T.StructType.fromDDL("text_hash long, node long, size int, odd array<long>, first array<long>")])
+    return mapped(docs.select(key, text, F.xxhash64(text).alias("text_hash")), run, out)
 
 
 def dealt_prefixes(prints: DataFrame) -> DataFrame:
@@ -447,8 +451,9 @@ def similar(pairs: DataFrame, prints: DataFrame, held: DataFrame, docs: DataFram
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document, key and component: the smallest key among texts that links of a
-    similarity of 0.8 of five-word shingles reach."""
+    """One row a document: key, text_hash (xxhash64 of the text, which tells texts of one key apart) and
+    component: the smallest key among texts that links of a similarity of 0.8 of five-word shingles
+    reach."""
     prints = written(prefixes(docs, key, text, common_shingles(docs, text)), "prefixes")
     held = written(prints.groupBy("node").agg(F.min(key).alias("label")).where(F.col("label").isNotNull()), "nodes")
     nodes = held.select(F.col("node").alias("fp"), "label")
@@ -463,4 +468,4 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         if not further.isEmpty():
             moved = components(nodes, edges.unionByName(further))
     labels = written(held.join(moved.select(F.col("fp").alias("node"), F.col("label").alias("moved")), "node", "left").select("node", F.coalesce("moved", "label").alias("component")), "labels")
-    return prints.select(key, "node").join(labels, "node", "left").select(key, F.coalesce("component", F.col(key)).alias("component"))
+    return prints.select(key, "text_hash", "node").join(labels, "node", "left").select(key, "text_hash", F.coalesce("component", F.col(key)).alias("component"))

@@ -19,9 +19,11 @@ Deciding. In the merged order, strings of LENGTH bytes around an anchor are equa
 share LENGTH - offset bytes and the bytes before share offset, so ranks of both give the smallest
 key of every string. What goes back to a group of documents is a mask of strings for each anchor.
 
-Nulls are empty texts; texts shorter than LENGTH lose nothing. A null key is larger than any other.
-Rows with equal keys don't match each other: neither is smaller. Texts of any length are taken
-whole, in pieces that overlap. An empty table gives an empty result.
+Nulls are empty texts; texts shorter than LENGTH lose nothing. Keys are whole numbers; a null key is
+larger than any other. Rows with equal keys, repeated rows among them, don't match each other: neither
+is smaller. Texts of any length are taken whole, in pieces that overlap. An empty table gives an empty
+result. The key and the text are read by name and the other columns, whatever their names, are left
+out; the result has its own columns alone.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks
+from .common import chunks, mapped
 
 LENGTH, KMER = 50, 24
 OFFSETS = LENGTH - KMER + 1  # places an anchor can have in its string
@@ -175,6 +177,20 @@ def common(a: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return found
 
 
+def suffixes_at(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A row for each place: its LENGTH bytes, with zeros from length on."""
+    held = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(LENGTH, np.uint8)], LENGTH)[at]
+    held[np.arange(LENGTH, dtype=np.uint8) >= length.astype(np.uint8)[:, None]] = 0
+    return held
+
+
+def before_places(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A row for each place: the OFFSETS - 1 bytes before it, the nearest first, with zeros from length on."""
+    held = np.lib.stride_tricks.sliding_window_view(np.r_[np.zeros(OFFSETS - 1, np.uint8), data], OFFSETS - 1)[at][:, ::-1].copy()
+    held[np.arange(OFFSETS - 1, dtype=np.uint8) >= length.astype(np.uint8)[:, None]] = 0
+    return held
+
+
 RUNS = "t int, range int, shared binary, length binary, before_length binary, rest binary, before binary, keys binary, n_first binary, n_all binary, places binary"
 
 
@@ -190,11 +206,9 @@ def send_runs(group: Group, masks: pa.Table, t: int, n_buckets: int, splits: np.
     some = np.flatnonzero(alive[where]) if len(where) else np.zeros(0, np.int64)
     at, low, high = at[some], low[some], high[some]
     length, before_length = (high + LENGTH - at), (at - low)
-    column = np.arange(LENGTH)
-    suffix = np.where(column < length[:, None], group.bytes[np.minimum(at[:, None] + column, max(0, len(group.bytes) - 1))], 0).astype(np.uint8) if len(at) else np.zeros((0, LENGTH), np.uint8)
-    column = np.arange(OFFSETS - 1)
-    before = np.where(column < before_length[:, None], group.bytes[np.maximum(at[:, None] - 1 - column, 0)], 0).astype(np.uint8) if len(at) else np.zeros((0, OFFSETS - 1), np.uint8)
+    suffix, before = suffixes_at(group.bytes, at, length), before_places(group.bytes, at, before_length)
     whole = np.concatenate([suffix, length[:, None].astype(np.uint8), before, before_length[:, None].astype(np.uint8)], axis=1)
+    del suffix, before
     keys = group.keyed(at)
     # Places are in order of the key already, so a stable sort keeps the smallest key first.
     order = np.argsort(np.ascontiguousarray(whole).view(f"S{whole.shape[1]}").ravel(), kind="stable") if len(at) else np.zeros(0, np.int64)
@@ -400,7 +414,7 @@ def splitters(docs: DataFrame, n_docs: int, ranges: int, key: str, text: str) ->
                 found += [x[a : a + 16] for a in at[:: max(1, -(-len(at) // SAMPLE_ANCHORS))].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["start"])
 
-    held = np.sort(np.array([bytes(r[0]) for r in sample.mapInArrow(run, "start binary").collect()], dtype="S16"))
+    held = np.sort(np.array([bytes(r[0]) for r in mapped(sample, run, "start binary").collect()], dtype="S16"))
     return np.unique(held[np.arange(1, ranges) * len(held) // ranges]) if len(held) else held
 
 
