@@ -5,9 +5,13 @@ payloads of at least ``min_bytes`` the smallest key keeps its payload as a respo
 become revisit records that name it. Payloads move once, by their unique key, to meet their record
 type, so a payload that a third of the pages share is not gathered anywhere.
 
-Archives are WARC/1.1 files, each compressed with gzip as a whole. Spark's text writer makes them: a row is a whole record and the
-line separator is the blank lines that end it, so they are committed like any other Spark output, in
-any store, and a lost executor's files are not left behind. Files hold about FILE_BYTES unpacked.
+Archives are WARC/1.1 files, each compressed with gzip as a whole: Spark has no writer that cuts a file
+into a gzip member for each record, and one that opened files itself would leave those of lost
+executors behind. So files are read from their start, not sought in. Spark's text writer makes them: a
+row is a whole record and the line separator is the blank lines that end it, so they are committed like
+any other Spark output, in any store. Files hold about FILE_BYTES unpacked and never more than MOST_BYTES,
+unless a single record does: payloads of more than LARGE times the mean are written apart from the others,
+so that the largest of each part bounds its records a file and few long pages don't make all files small.
 
 Reading. Files, packed or plain, are read as binary and cut by Content-Length, never by looking for separators, and
 digests are checked. Revisit records are joined to the responses of their digest, which gives them
@@ -16,8 +20,10 @@ the payload's length and the key of the response.
 ``rewrite`` does all of that from archives to archives, with fresh headers.
 
 A null payload is empty. Rows with a null key are written under an empty id and read back as null;
-they are never the smallest key. Repeated rows with one key and payload are all responses. Payloads
-of any length up to a file's limit (2 GB) are carried whole. An empty table writes no records.
+they are never the smallest key. Repeated rows with one key and payload are all responses: a tie needs
+no rule. Payloads of any length up to a file's limit (2 GB) are carried whole. An empty table writes no
+records. Only the key, the URI and the payload are read, so other columns, of whatever names, have no
+effect.
 """
 
 from __future__ import annotations
@@ -26,25 +32,42 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir
+from .common import mapped, shared_dir, written
 
 MIN_BYTES = 100
 FILE_BYTES = 64 << 20
+
+#: Most bytes of a file of several records; a record's payload that is so many times the mean is a large one.
+MOST_BYTES, LARGE = 1 << 30, 16
+
+#: Bytes of a record besides its payload and URI, about.
+HEADER = 1024
 END = "\r\n\r\n"
 
 
-def marked(pages: DataFrame, key: str, payload: str, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Adds digest, bytes, and refers_to: the key of the response for revisits, else null."""
-    rows = pages.withColumns({"digest": F.sha2(F.coalesce(F.col(payload), F.lit("")), 256), "bytes": F.octet_length(F.coalesce(payload, F.lit(""))).cast("long")})
+def revisits(pages: DataFrame, key: str, payload: str, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """_key, _digest and refers_to, the key of the response, of the pages that are revisits."""
+    rows = measured(pages, payload)
     headers = rows.where(F.col("bytes") >= min_bytes).select(key, "digest")
     originals = headers.groupBy("digest").agg(F.min(key).alias("original"), F.count("*").alias("n")).where("n > 1 AND original IS NOT NULL").drop("n")
-    again = headers.join(originals, "digest").where(~F.col(key).eqNullSafe(F.col("original"))).select(F.col(key).alias("_key"), F.col("digest").alias("_digest"), F.col("original").alias("refers_to")).distinct()
+    return headers.join(originals, "digest").where(~F.col(key).eqNullSafe(F.col("original"))).select(F.col(key).alias("_key"), F.col("digest").alias("_digest"), F.col("original").alias("refers_to")).distinct()
+
+
+def measured(pages: DataFrame, payload: str) -> DataFrame:
+    """Adds digest and bytes of the payload."""
+    return pages.withColumns({"digest": F.sha2(F.coalesce(F.col(payload), F.lit("")), 256), "bytes": F.octet_length(F.coalesce(payload, F.lit(""))).cast("long")})
+
+
+def marked(pages: DataFrame, again: DataFrame, key: str, payload: str) -> DataFrame:
+    """Adds digest, bytes, and refers_to: the key of the response for revisits, else null."""
+    rows = measured(pages, payload)
     return rows.join(again, rows[key].eqNullSafe(again["_key"]) & (rows["digest"] == again["_digest"]), "left").drop("_key", "_digest")
 
 
@@ -68,12 +91,20 @@ def record(key: Column, uri: Column, payload: Column, digest: Column, size: Colu
     )
 
 
-def write(pages: DataFrame, path: str, key: str = "page_id", uri: str = "url", payload: str = "html", min_bytes: int = MIN_BYTES, date: str = "2000-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
-    """Write deduplicated archives of pages under path."""
-    mean = pages.agg(F.avg(F.coalesce(F.octet_length(payload), F.lit(0)))).first()[0] or 0
-    rows = marked(pages.select(key, uri, payload), key, payload, min_bytes)
-    text = record(F.col(key), F.col(uri), F.col(payload), F.col("digest"), F.col("bytes"), F.col("refers_to"), date)
-    rows.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(file_bytes // (mean + 512)))).text(path)
+def write(pages: DataFrame, path: str, key: str = "page_id", uri: str = "url", payload: str = "html", min_bytes: int = MIN_BYTES, date: str | None = None, file_bytes: int = FILE_BYTES, most_bytes: int = MOST_BYTES) -> None:
+    """Write deduplicated archives of pages under path. date: WARC-Date, the present time if null."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    pages = pages.select(key, uri, payload)
+    size = F.coalesce(F.octet_length(payload), F.lit(0)) + F.coalesce(F.octet_length(uri), F.lit(0)) + HEADER
+    mean, most = pages.agg(F.avg(size), F.max(size)).first()
+    again = written(revisits(pages, key, payload, min_bytes), "revisits")
+    bound = int(LARGE * (mean or HEADER))
+    for large in (False, True) if (most or 0) > bound else (False,):
+        own = pages.where(size > bound if large else size <= bound) if (most or 0) > bound else pages
+        rows = marked(own, again, key, payload)
+        text = record(F.col(key), F.col(uri), F.col(payload), F.col("digest"), F.col("bytes"), F.col("refers_to"), date)
+        records = max(1, min(int(file_bytes // (mean or HEADER)), most_bytes // (most if large else min(bound, most or HEADER))))
+        rows.select(text.alias("value")).write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 RECORD = T.StructType([T.StructField("record_id", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("uri", T.StringType()), T.StructField("date", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("refers_to", T.StringType()), T.StructField("length", T.LongType()), T.StructField("payload", T.BinaryType())])
@@ -129,10 +160,10 @@ def read(spark, path: str, keep_payload: bool = True) -> DataFrame:
                         rows, held = [], 0
                 yield out()
 
-    return files.mapInArrow(run, schema)
+    return mapped(files, run, schema)
 
 
-def resolve(records: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def resolve(records: DataFrame) -> DataFrame:
     """Joins revisit records to the responses of their digest: original (its record_id) and
     payload_bytes are added; both come from the row itself for responses. Headers alone should be
     handed in. A revisit without a response in the archives has a null original."""
@@ -142,28 +173,31 @@ def resolve(records: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     return plain.unionByName(revisits)
 
 
-def rewrite(spark, source: str, target: str, min_bytes: int = MIN_BYTES, date: str = "2000-01-01T00:00:00Z") -> None:
+def rewrite(spark, source: str, target: str, min_bytes: int = MIN_BYTES, date: str | None = None, file_bytes: int = FILE_BYTES, most_bytes: int = MOST_BYTES) -> None:
     """Archives to archives: revisits are resolved, equal payloads stored once, headers fresh."""
-    records = read(spark, source)
-    headers = resolve(records.drop("payload")).select("record_id", "record_type", "uri", "digest", F.coalesce("payload_bytes", "length").alias("bytes"))
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    held = written(read(spark, source, keep_payload=False), "headers")
+    headers = resolve(held).select("record_id", "record_type", "uri", "digest", F.coalesce("payload_bytes", "length").alias("bytes"))
     smallest = headers.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min(F.struct(F.col("record_id").cast("long").alias("n"), F.col("record_id").alias("id"))).alias("first"))
     kept = headers.join(smallest, "digest", "left").select(F.col("record_id").alias("id"), F.col("uri").alias("target"), "digest", "bytes", F.when(F.col("first.id") != F.col("record_id"), F.col("first.id")).alias("refers_to"))
     # A payload goes to the record that keeps it: by digest from whichever response held it.
-    bodies = records.where("record_type = 'response'").select("digest", F.col("record_id").alias("held_by"), F.col("payload").cast("string").alias("payload"))
-    holder = bodies.groupBy("digest").agg(F.min("held_by").alias("held_by"))
+    holder = held.where("record_type = 'response'").groupBy("digest").agg(F.min("record_id").alias("held_by"))
+    bodies = read(spark, source).where("record_type = 'response'").select("digest", F.col("record_id").alias("held_by"), F.col("payload").cast("string").alias("payload"))
     needed = kept.where("refers_to IS NULL").join(holder, "digest", "left")
     full = needed.join(bodies, ["digest", "held_by"], "left").drop("held_by")
     rows = full.unionByName(kept.where("refers_to IS NOT NULL").withColumn("payload", F.lit(None).cast("string")))
     text = record(F.col("id"), F.col("target"), F.col("payload"), F.col("digest"), F.col("bytes"), F.col("refers_to"), date)
-    rows.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip").text(target)
+    mean, most = held.agg(F.avg(F.col("length") + HEADER), F.max(F.col("length") + HEADER)).first()
+    records = max(1, min(int(file_bytes // (mean or HEADER)), most_bytes // (most or HEADER)))
+    rows.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(target)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
     """Writes archives of pages to the shared folder, reads them back and resolves the revisits:
-    key, payload_bytes, payload_digest, record_type, refers_to."""
+    key, payload_bytes, payload_digest, record_type, refers_to. Archives are unpacked once."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/pagewright/warc-{uuid.uuid4().hex}"
     write(pages, path, key, uri, payload, min_bytes)
-    found = resolve(read(spark, path, keep_payload=False), min_bytes)
+    found = resolve(written(read(spark, path, keep_payload=False), "headers"))
     kind = pages.schema[key].dataType
     return found.select(F.col("record_id").cast(kind).alias(key), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.when(F.col("record_type") == "revisit", F.coalesce("original", "refers_to")).cast(kind).alias("refers_to"))

@@ -1,6 +1,7 @@
 """The operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables,
 columns whose names clash."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -58,7 +59,17 @@ def test_warc(spark, tmp_path):
     assert {(r.record_id, r.record_type, r.original, r.payload_bytes) for r in again.collect()} == {("1", "response", None, 303), ("2", "revisit", "1", 303), ("3", "revisit", "1", 303), ("8", "response", None, 320)}
 
 
-def test_line_dedup(spark, docs, none):
+def test_no_archive_passes_its_bound(spark, tmp_path):
+    rows = [(i, "u", f"{i} " + "x" * (200_000 if i % 50 == 7 else 40 if i % 3 else 900)) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "a"), file_bytes=100_000, most_bytes=700_000)
+    files = [gzip.decompress(p.read_bytes()) for p in (tmp_path / "a").glob("part-*")]
+    assert max(map(len, files)) <= 700_000 and len(files) < 60
+    found = {(int(r.record_id), bytes(r.payload).decode()) for r in warc.read(spark, str(tmp_path / "a")).collect()}
+    assert found == {(k, html) for k, _, html in rows}
+
+
+def test_line_dedup(spark, docs, none, monkeypatch):
     pages = [(i, f"boiler\nown {i}\n\nboiler" if i < 12 else "rare\nboiler", "h") for i in range(200)]
     pages += [(1000 + i, "boiler\nx", "small") for i in range(5)] + [(2000, None, "h"), (2001, "", None), (2002, "\n\n", "h")]
     df = spark.createDataFrame(pages, "doc_id long, text string, source string").withColumn("n_lines", F.lit("clash"))
@@ -67,7 +78,14 @@ def test_line_dedup(spark, docs, none):
     assert found[50].text == "" and found[1000].text == "boiler\nx"
     assert found[2000].text is None and found[2001].text == "" and found[2002].text == "\n\n"
     assert len(found) == len(pages)
-    assert line_dedup.drop_boilerplate(docs).count() == docs.count() and line_dedup.drop_boilerplate(none).count() == 0
+    plain = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_boilerplate(docs).collect()), key=str)
+    lines = [t.split("\n") if t is not None else [] for t in (r.text for r in docs.collect())]
+    assert plain == sorted(((r.doc_id, r.text, sum(x.strip(" ") != "" for x in held), 0) for r, held in zip(docs.collect(), lines)), key=str)
+    assert line_dedup.drop_boilerplate(none).collect() == []
+    own = lambda: sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_boilerplate(df).collect()), key=str)
+    joined = own()
+    monkeypatch.setattr(line_dedup, "small", lambda found: False)
+    assert own() == joined and any(x[3] for x in joined)
 
 
 def test_packing(docs, none):
