@@ -106,6 +106,8 @@ QUERIES = {
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+BAD_NAMES = "|".join([*url_filter.BAD_WORDS, *(f"({'|'.join(a)})-?({'|'.join(b)})" for nouns, others in url_filter.FAMILIES for a, b in ((nouns, others), (others, nouns)))])
+
 ORACLES = {
     "op4_decontaminate": f"""
 WITH dw AS (SELECT doc_id, {WORDS} AS w FROM documents), iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS} AS w FROM benchmark),
@@ -159,10 +161,8 @@ WITH r AS (
 )
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches(host || path, '(^|[.\-])casino([.\-]|/|$)') OR regexp_matches(host || path, '(^|[.\-])spam-farm\.')
-    OR regexp_matches(host || path, '(^|[.\-])(free-)?(poker|betting)([.\-]|/|$)')
-    OR regexp_matches(host || path, '/(wp-login|xmlrpc)\.php$') OR regexp_matches(host || path, '/cgi-bin/.*\.cgi$') THEN 'block'
+  WHEN regexp_matches(host || path, '(^|[.\-])(BAD_NAMES)([.\-]|/|$)') OR regexp_matches(host || path, '/(wp-login|xmlrpc)\.php$') OR regexp_matches(host || path, '/cgi-bin/.*\.cgi$') THEN 'block'
   ELSE 'allow' END AS verdict
 FROM s
-""",
+""".replace("BAD_NAMES", BAD_NAMES),
 }

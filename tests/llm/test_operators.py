@@ -226,6 +226,9 @@ URLS = {
     "https://x.com/DE/": ("x.com", "/DE/", None, "allow"),
     "https://my-casino.net/": ("my-casino.net", "/", None, "block"),
     "https://casinos.net/": ("casinos.net", "/", None, "allow"),
+    "https://m.ads-track.x.net/a": ("m.ads-track.x.net", "/a", None, "block"),
+    "https://x.net/free/bets": ("x.net", "/free/bets", None, "allow"),
+    "https://x.net/" + "a-" * 20_000 + "cheappills/": ("x.net", "/" + "a-" * 20_000 + "cheappills/", None, "block"),
     "http://a.org?x/y": ("a.org", "", None, "allow"),
     "no scheme casino": ("", "", None, "allow"),
     None: ("", "", None, "allow"),
@@ -244,6 +247,26 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.where("false"), rules).count() == 0
     filed = url_filter.index(rules, {"org": 9, "example": 2, "es": 1})
     assert [r.name for r in filed["es"]] == ["example.org/es/"]
+    assert {(r["rule"], r.verdict) for r in url_filter.judge(pages, ()).collect()} == {(None, "allow")}
+    with pytest.raises(ValueError):
+        url_filter.buckets({"a": [url_filter.Rule("\x1f", "block", "a", ("a",))]})
+
+
+def test_url_index_misses_no_rule(spark):
+    r = random.Random(12)
+    rules = url_filter.SITE_RULES + url_filter.PATTERN_RULES
+    assert len(rules) > 1000
+    words = sorted({t for rule in rules for t in rule.tokens}) + ["a", "index", "news", "de", "fr"]
+    name = lambda: "".join(r.choice(words) + r.choice([".", "-", "", "/", "."]) for _ in range(r.randint(1, 5)))
+    urls = [f"http://{name()}{r.choice(['com', 'example.org', 'net'])}/{r.choice(['fr/', 'de/', 'en/1', ''])}{name()}{r.choice(['', '?x', '.cgi', 'wp-login.php'])}" for _ in range(1500)]
+    found = {x.url: x for x in url_filter.judge(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()}
+    compiled = [(rule, re.compile(rule.pattern)) for rule in rules]
+    for u in urls:
+        x = found[u]
+        fit = [rule for rule, p in compiled if p.search(x.host + x.path)]
+        best = max(fit, key=lambda rule: (rule.rank, rule.action), default=None)
+        assert x.verdict == (best.action if best else "allow") and x["rule"] == (best.name if best else None)
+    assert 100 < sum(x.verdict == "block" for x in found.values()) < 1400
 
 
 def print_of(text, width=4):
