@@ -19,10 +19,10 @@ Similar texts. Fingerprints of 64 bits can't hold a similarity of 0.8 apart from
 fixed order of shingles, two sets of a similarity of 0.8 share one of their first fifths (and one
 shingle more), at every size of the corpus. The order is from rare to common, by counts over a
 sample of texts, which decides the cost and never the result. Within a key, pairs go whose sizes, or
-the shingles left after the common one, rule the similarity out. First each text meets its
-neighbours by size; keys of more rows then give all their other pairs that are not in one component
-yet, so that a dense group doesn't yield all of its pairs. Survivors are verified on their whole
-sets, so a link is exact up to equal 64-bit hashes.
+the shingles left after the common one, or parities of the sets rule the similarity out. First each
+text meets its neighbours by size, and two of its pairs at most are verified on the whole sets; then
+come the other pairs, of all rows of a key, that are not in one component yet, so that a dense group
+doesn't yield all of its pairs. A link is exact up to equal 64-bit hashes.
 
 Components. Minimum labels travel along the forest's edges with pointer jumping, in DataFrames that
 are cut by checkpoints; nothing about single documents reaches the driver.
@@ -52,6 +52,9 @@ SEED = 42
 #: Keys of so many rows at most compare all of them, which is a constant number of pairs a row.
 SMALL = 8
 
+#: Of larger sets of similar texts, neighbours by size that are looked at first.
+AROUND = 2
+
 #: Reference fingerprints: hashes of small numbers, fixed so that every worker has the same.
 N_PIVOTS = 16
 
@@ -378,29 +381,26 @@ def may_be_similar(size: np.ndarray, place: np.ndarray, other_size: np.ndarray,
 
 
 def near_pairs(dealt: DataFrame) -> DataFrame:
-    """u, v: candidates among neighbours by size within a key. Rows of keys that have further pairs
-    come as they are, without u and v."""
+    """u, v: candidates within a key, all of a key of SMALL rows at most, the next AROUND by size in a
+    larger one. Rows of larger keys come as they are too, without u and v."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in whole_keys(batches, plain):
             key, node, _, _ = columns
             first = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]  # copies in other tasks
             key, node, size, place = (x[first] for x in columns)
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            count = np.diff(np.r_[starts, len(key)])
+            large = np.repeat(count > SMALL, count)
             us, vs = [], []
             for apart in range(1, SMALL):
-                at = np.flatnonzero(key[:-apart] == key[apart:])
-                if not len(at):
-                    break
+                at = np.flatnonzero((key[:-apart] == key[apart:]) & ((apart <= AROUND) | ~large[:-apart]))
                 at = at[may_be_similar(size[at], place[at], size[at + apart], place[at + apart])]
                 us.append(node[at])
                 vs.append(node[at + apart])
-            if us:
-                u, v = np.concatenate(us), np.concatenate(vs)
-                none = pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int32()), pa.nulls(len(u), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), *none], ["u", "v", "key", "node", "size", "place"])
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            count = np.diff(np.r_[starts, len(key)])
-            large = np.repeat(count > SMALL, count)
+            u, v = np.concatenate(us), np.concatenate(vs)
+            none = pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int32()), pa.nulls(len(u), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), *none], ["u", "v", "key", "node", "size", "place"])
             if large.any():
                 none = pa.nulls(int(large.sum()), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, *(pa.array(x[large]) for x in (key, node, size, place))], ["u", "v", "key", "node", "size", "place"])
@@ -409,17 +409,26 @@ def near_pairs(dealt: DataFrame) -> DataFrame:
 
 
 def far_pairs(dealt: DataFrame) -> DataFrame:
-    """u, v: all candidates within a key, of rows (key, node, size, place, label) of unlike labels."""
+    """u, v: all candidates within a key, of rows (key, node, size, place, label, odd) of unlike labels,
+    that parities don't rule out."""
+
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        odd = batch.column("odd").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+        return [*(batch.column(x).to_numpy() for x in ("key", "node", "size", "place", "label")), odd]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, size, place, label in whole_keys(batches, plain):
+        for key, node, size, place, label, odd in whole_keys(batches, columns):
+            size = size.astype(np.int64)
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             us, vs, held = [], [], 0
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
-                ends = a + np.searchsorted(size[a:b], size[a:b].astype(np.int64) * SHARED[1] // SHARED[0], "right")
+                ends = a + np.searchsorted(size[a:b], size[a:b] * SHARED[1] // SHARED[0], "right")
                 for i, end in zip(range(a, b), ends.tolist()):
                     at = i + 1 + np.flatnonzero(label[i + 1 : end] != label[i])
                     at = at[may_be_similar(size[i : i + 1], place[i : i + 1], size[at], place[at])]
+                    if not len(at):
+                        continue
+                    at = at[distances(odd[at], odd[i]).astype(np.int64) * sum(SHARED) <= (size[at] + size[i]) * (SHARED[1] - SHARED[0])]
                     us.append(np.minimum(node[i], node[at]))
                     vs.append(np.maximum(node[i], node[at]))
                     held += len(at)
@@ -432,24 +441,34 @@ def far_pairs(dealt: DataFrame) -> DataFrame:
     return mapped(dealt, run, "u long, v long").distinct()
 
 
-def similar(pairs: DataFrame, prints: DataFrame, held: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Edges u, v, in both senses, of the pairs whose sets are similar. Only pairs that their parities
-    don't rule out build their sets, from the texts."""
+def with_both(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """pairs(u, v) with the rows of own, by node, as the structs a and b."""
+    return pairs.join(own.select(F.col("node").alias("u"), F.struct(*own.columns).alias("a")), "u").join(own.select(F.col("node").alias("v"), F.struct(*own.columns).alias("b")), "v")
 
-    def with_both(pairs: DataFrame, own: DataFrame) -> DataFrame:
-        return pairs.join(own.select(F.col("node").alias("u"), F.struct(*own.columns).alias("a")), "u").join(own.select(F.col("node").alias("v"), F.struct(*own.columns).alias("b")), "v")
 
+def not_ruled_out(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs whose parities, in sizes(node, size, odd), leave it open that they are similar."""
     apart = F.aggregate(F.zip_with("a.odd", "b.odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    sizes = prints.where(F.size("odd") > 0).groupBy("node").agg(F.first("size").alias("size"), F.first("odd").alias("odd"))
-    left = written(with_both(pairs, sizes).where(apart * sum(SHARED) <= (F.col("a.size") + F.col("b.size")) * (SHARED[1] - SHARED[0])).select("u", "v"), "pairs")
-    met = written(left.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(held, "node"), "met")
+    return with_both(pairs, sizes).where(apart * sum(SHARED) <= (F.col("a.size") + F.col("b.size")) * (SHARED[1] - SHARED[0])).select("u", "v")
+
+
+def similar(pairs: DataFrame, held: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Edges u, v, in both senses, of the pairs (a written table) whose sets are similar. The sets of
+    texts that are in a pair are built again, from the texts."""
+    met = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(held, "node"), "met")
     texts = docs.select(key, text).join(met.select(F.col("label").alias(key)), key, "left_semi")
     own = written(with_sets(texts, text).join(met, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     shared = F.size(F.array_intersect("a.shingles", "b.shingles"))
-    found = with_both(left, own).where(shared * sum(SHARED) >= (F.size("a.shingles") + F.size("b.shingles")) * SHARED[0])
+    found = with_both(pairs, own).where(shared * sum(SHARED) >= (F.size("a.shingles") + F.size("b.shingles")) * SHARED[0])
     return written(found.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*"), "edges")
 
 
+def unlike(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs that aren't in one component yet."""
+    one, other = labels.select(F.col("node").alias("u"), F.col("label").alias("a")), labels.select(F.col("node").alias("v"), F.col("label").alias("b"))
+    return pairs.join(one, "u").join(other, "v").where("a <> b").select("u", "v")
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: key, text_hash (xxhash64 of the text, which tells texts of one key apart) and
     component: the smallest key among texts that links of a similarity of 0.8 of five-word shingles
@@ -458,14 +477,23 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     held = written(prints.groupBy("node").agg(F.min(key).alias("label")).where(F.col("label").isNotNull()), "nodes")
     nodes = held.select(F.col("node").alias("fp"), "label")
     found = written(near_pairs(by_key(dealt_prefixes(prints))), "candidates")
-    edges = similar(found.where("u IS NOT NULL").select("u", "v").distinct(), prints, held, docs, key, text)
+    sizes = written(prints.where(F.size("odd") > 0).groupBy("node").agg(F.first("size").alias("size"), F.first("odd").alias("odd")), "sizes")
+    near = written(not_ruled_out(found.where("u IS NOT NULL").select("u", "v").distinct(), sizes), "near")
+    # At first two pairs a text at most: what they join needs no further pair.
+    some = near.groupBy("u").agg(F.min("v").alias("v")).unionByName(near.groupBy("v").agg(F.min("u").alias("u")))
+    edges = similar(written(some.distinct(), "first"), held, docs, key, text)
     moved = components(nodes, edges)
-    large = found.where("u IS NULL").select("key", "node", "size", "place")
-    if not large.isEmpty():
-        own = written(held.withColumnRenamed("label", "own").join(moved.withColumnRenamed("fp", "node"), "node", "left").select("node", F.coalesce("label", "own").alias("label")), "labels")
-        number = F.xxhash64("label")  # of any type
-        further = similar(far_pairs(by_key(large.join(own.select("node", number.alias("label")), "node").select("key", "node", "size", "place", "label"))), prints, held, docs, key, text)
-        if not further.isEmpty():
-            moved = components(nodes, edges.unionByName(further))
-    labels = written(held.join(moved.select(F.col("fp").alias("node"), F.col("label").alias("moved")), "node", "left").select("node", F.coalesce("moved", "label").alias("component")), "labels")
+    number = F.xxhash64("label")  # of any type
+    own = written(held.join(moved.withColumnsRenamed({"fp": "node", "label": "moved"}), "node", "left").select("node", F.coalesce("moved", "label").alias("label")).withColumn("number", number), "labels")
+    numbered = own.select("node", F.col("number").alias("label"))
+    large = written(found.where("u IS NULL").select("key", "node", "size", "place").join(numbered, "node"), "large")
+    apart = large.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+    rows = large.join(apart, "key", "left_semi").join(sizes.select("node", "odd"), "node").select("key", "node", "size", "place", "label", "odd")
+    further = written(unlike(near, numbered).unionByName(far_pairs(by_key(rows))).distinct(), "further")
+    labels = own.select("node", F.col("label").alias("component"))
+    if not further.isEmpty():
+        more = similar(further, held, docs, key, text)
+        if not more.isEmpty():
+            moved = components(nodes, edges.unionByName(more))
+            labels = written(held.join(moved.withColumnsRenamed({"fp": "node", "label": "moved"}), "node", "left").select("node", F.coalesce("moved", "label").alias("component")), "labels")
     return prints.select(key, "text_hash", "node").join(labels, "node", "left").select(key, "text_hash", F.coalesce("component", F.col(key)).alias("component"))
