@@ -99,7 +99,7 @@ def strip_markup(text: Column) -> Column:
 
 def clean_heading(text: Column) -> Column:
     """Links to their labels, footnote marks and asterisks gone."""
-    return strip(folded(folded(F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1"), r"\[\^\d+\]"), r"\*"))
+    return strip(folded(folded(F.regexp_replace(text, r"\[([^\]]+)\]\([^)\s]+\)", "$1"), r"\[\^\d+\]"), r"\*"))
 
 
 def paragraph_number(text: Column) -> Column:

@@ -33,28 +33,38 @@ def is_rubric(stripped: Column) -> Column:
     return F.contains(F.upper(stripped), F.lit(tx.RUBRIC)) & (F.length(stripped) < tx.TITLE_LENGTH)
 
 
-def split(tokens: DataFrame, key: str) -> DataFrame:
-    """Adds body, title_pos, is_body, is_note and first_body to the tokens."""
-    whole = Window.partitionBy(key)
+def find_body(tokens: DataFrame, key: str) -> DataFrame:
+    """Adds body, the document's body container, and inside: whether a row stands in it."""
     rows = tokens.join(body_containers(tokens, key), key, "left")
-    filled = ~empty(F.col("text_stripped"))
-    rows = rows.withColumns({"inside": F.coalesce(F.array_contains("containers", F.col("body")), F.lit(False)), "is_def": is_definition(F.col("anchor_names"))})
-    rows = rows.withColumns(
-        {
-            "first_def": F.min(F.when(F.col("inside") & F.col("is_def"), F.col("pos"))).over(whole),
-            "rubric_pos": F.min(F.when((F.size("containers") > 0) & is_rubric(F.col("text_stripped")), F.col("pos"))).over(whole),
-            "first_direct": F.min(F.when((F.col("parent_container") == F.col("body")) & filled, F.col("pos"))).over(whole),
-        }
-    )
+    return rows.withColumn("inside", F.coalesce(F.array_contains("containers", F.col("body")), F.lit(False)))
+
+
+def find_title(rows: DataFrame, key: str) -> DataFrame:
+    """Adds title_pos: the first rubric, else the first filled paragraph right in the body."""
+    whole = Window.partitionBy(key)
+    rubric = F.min(F.when((F.size("containers") > 0) & is_rubric(F.col("text_stripped")), F.col("pos"))).over(whole)
+    direct = F.min(F.when((F.col("parent_container") == F.col("body")) & ~empty(F.col("text_stripped")), F.col("pos"))).over(whole)
+    return rows.withColumn("title_pos", F.coalesce(rubric, direct))
+
+
+def split_notes(rows: DataFrame, key: str) -> DataFrame:
+    """Adds is_body and is_note: the body ends before its first note definition."""
+    whole = Window.partitionBy(key)
+    rows = rows.withColumn("is_def", is_definition(F.col("anchor_names")))
+    rows = rows.withColumn("first_def", F.min(F.when(F.col("inside") & F.col("is_def"), F.col("pos"))).over(whole))
+    apart = F.array_contains(F.split(F.coalesce("css_class", F.lit("")), r"\s+"), "MsoFootnoteText")
     rows = rows.withColumns(
         {
-            "title_pos": F.coalesce("rubric_pos", "first_direct"),
             "is_body": F.col("inside") & ~F.col("is_def") & (F.col("first_def").isNull() | (F.col("pos") < F.col("first_def"))),
-            "is_note": F.col("is_def") & F.when(F.col("first_def").isNotNull(), F.col("inside")).otherwise(F.array_contains(F.split(F.coalesce("css_class", F.lit("")), r"\s+"), "MsoFootnoteText")),
+            "is_note": F.col("is_def") & F.when(F.col("first_def").isNotNull(), F.col("inside")).otherwise(apart),
         }
     )
-    rows = rows.withColumn("first_body", F.min(F.when(F.col("is_body"), F.col("pos"))).over(whole))
-    return rows.drop("inside", "is_def", "first_def", "rubric_pos", "first_direct")
+    return rows.drop("is_def", "first_def")
+
+
+def split(tokens: DataFrame, key: str) -> DataFrame:
+    """All three, one after another."""
+    return split_notes(find_title(find_body(tokens, key), key), key)
 
 
 def drop_contents(rows: DataFrame, key: str) -> DataFrame:

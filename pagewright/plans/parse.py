@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -18,6 +19,21 @@ PARAGRAPHS = "array<struct<number:int,chapter:string,section:string,text:string>
 FOOTNOTES = "array<struct<number:int,text:string>>"
 
 
+_kept: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, persisted until release()."""
+    _kept.append(df.persist())
+    return _kept[-1]
+
+
+def release() -> None:
+    """Frees the tokens and attempts that parsing has kept, once what reads them is written."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
 def in_order(*fields: str):
     """The rows of a group as an array of structs in order of pos, without pos."""
     held = F.sort_array(F.collect_list(F.struct("pos", *fields)))
@@ -28,7 +44,9 @@ def attempt(pages: DataFrame, tokens: DataFrame, strategy: Strategy, order: int
     """One strategy over all pages: key, strategy_ord, strategy_name, document (null if it failed)
     and warnings. pages: key, html, source_url; tokens: the pages' tokens."""
     faults = tokens.where(F.col("error").isNotNull()).groupBy(key).agg(F.first("error").alias("fault"))
-    rows = strategy.split(tokens.where(F.col("error").isNull()), key)
+    rows = strategy.find_body(tokens.where(F.col("error").isNull()), key)
+    rows = strategy.split_notes(strategy.find_title(rows, key), key)
+    rows = rows.withColumn("first_body", F.min(F.when(F.col("is_body"), F.col("pos"))).over(Window.partitionBy(key)))
     rows = rows.withColumn("in_body", F.col("is_body") & ~((F.col("pos") == F.col("title_pos")) & (F.col("title_pos") == F.col("first_body"))))
     rows = strategy.drop_preamble(rows, key)
     rows = rows.withColumn("in_body", F.col("in_body") & (F.col("start").isNull() | (F.col("pos") >= F.col("start"))))
@@ -37,8 +55,8 @@ def attempt(pages: DataFrame, tokens: DataFrame, strategy: Strategy, order: int
     rows = rows.withColumn("dateline", F.max(F.when(filled & strategy.is_dateline(F.col("text_stripped")), F.col("pos"))).over(whole))
     rows = rows.withColumn("after", F.min(F.when(filled & (F.col("pos") > F.col("dateline")), F.col("pos"))).over(whole))
     body = rows.where(F.col("in_body") & ~segment.empty(F.col("text_stripped")) & (tx.strip(F.col("md")) != "") & (F.col("dateline").isNull() | (F.col("pos") < F.col("dateline"))))
-    kept = fold.carry(fold.classify(body, strategy.is_heading, strategy.chapter_numeral), [key])
-    paragraphs = kept.groupBy(key).agg(in_order("number", "chapter", "section", "text").alias("kept"))
+    folded = fold.carry(fold.classify(body, strategy.is_heading, strategy.chapter_numeral), [key])
+    paragraphs = folded.groupBy(key).agg(in_order("number", "chapter", "section", "text").alias("kept"))
     footnotes = notes.definitions(rows.where("is_note"), [key]).groupBy(key).agg(in_order("number", "text").alias("footnotes"))
     signature = F.when((F.col("pos") == F.col("after")) & strategy.is_signature(F.col("md")) & (F.col("md") != ""), F.col("md"))
     heads = rows.groupBy(key).agg(
@@ -61,7 +79,7 @@ def attempt(pages: DataFrame, tokens: DataFrame, strategy: Strategy, order: int
         .when(promulgated.isNull(), "could not extract promulgation date from body")
     )
     closing = F.transform(F.array_compact(F.array("dateline_md", "signature_md")), lambda t: F.struct(F.lit(None).cast("int").alias("number"), F.lit(None).cast("string").alias("chapter"), F.lit(None).cast("string").alias("section"), t.alias("text")))
-    found = found.withColumns({"failure": failure, "block": tx.title_block(F.coalesce("lines", F.array().cast("array<string>"))), "promulgated": promulgated, "kept": F.coalesce("kept", F.array().cast(PARAGRAPHS))})
+    found = found.withColumns({"failure": failure, "block": strategy.title_block(F.coalesce("lines", F.array().cast("array<string>"))), "promulgated": promulgated, "kept": F.coalesce("kept", F.array().cast(PARAGRAPHS))})
     first = F.try_element_at(F.filter("kept", lambda p: p["number"] == 1), F.lit(1))["text"]
     document = F.struct(
         F.col(key).alias("title_slug"),
@@ -79,21 +97,36 @@ def attempt(pages: DataFrame, tokens: DataFrame, strategy: Strategy, order: int
     )
     found = found.withColumn("document", F.when(F.col("failure").isNull(), document))
     crashed = F.array(validate.warning("strategy-crashed", F.concat(F.lit(f"{strategy.name}: "), F.col("failure")), "error"))
-    warnings = F.when(F.col("failure").isNotNull(), crashed).otherwise(validate.checks(F.col("document")))
-    return found.select(key, F.lit(order).alias("strategy_ord"), F.lit(strategy.name).alias("strategy_name"), "document", warnings.alias("warnings"))
+    judged = F.when(F.col("failure").isNotNull(), crashed).otherwise(validate.checks(F.col("document")))
+    return found.select(key, F.lit(order).alias("strategy_ord"), F.lit(strategy.name).alias("strategy_name"), "document", judged.alias("warnings"))
 
 
 def clean(attempts: DataFrame) -> DataFrame:
     return attempts.where(F.col("document").isNotNull() & ~validate.has_errors(F.col("warnings")))
 
 
-def attempts(pages: DataFrame, chain: Sequence[Strategy] | None = None, key: str = "slug", tokens: DataFrame | None = None, **tokeniser) -> DataFrame:
+class ParseWarning(UserWarning):
+    """What ``warn`` issues: a code that attempts at documents got, and how often."""
+
+
+def warn(found: DataFrame) -> None:
+    """A Python warning for each code and severity of the attempts, with the number of pages: a report
+    whose size doesn't grow with the corpus. The attempts hold the messages themselves."""
+    counts = found.select(F.explode("warnings").alias("w")).groupBy("w.severity", "w.code").agg(F.count("*").alias("n")).orderBy("severity", "code")
+    for r in counts.collect():
+        warnings.warn(f"[{r.severity}] {r.code}: {r.n} pages", ParseWarning, stacklevel=2)
+
+
+def attempts(pages: DataFrame, chain: Sequence[Strategy] | None = None, key: str = "slug", tokens: DataFrame | None = None, strategy: Strategy | None = None, **tokeniser) -> DataFrame:
     """Every attempt of every page. The next strategy of a chain sees only the pages that the ones
-    before left without a clean document. Without a chain, pages whose settings name a strategy are
-    parsed with it alone, and the others by the default chain. Pages are tokenised once."""
+    before left without a clean document. A single strategy goes before a chain; without either, pages
+    whose settings name a strategy are parsed with it alone, and the others by the default chain. Pages
+    are tokenised once; ``release`` frees what is kept of them once the result is written."""
     spark = pages.sparkSession
+    if strategy is not None:
+        chain = (strategy,)
     if tokens is None:
-        tokens = html_tokens.tokens(pages, key, **tokeniser).repartition(key).persist()
+        tokens = kept(html_tokens.tokens(pages, key, **tokeniser).repartition(key))
     if chain is not None:
         return chained(pages, tokens, chain, key)
     named = settings.table(spark).where(F.col("strategy").isNotNull()).select(F.col("slug").alias(key), F.col("strategy").alias("own_strategy"))
@@ -114,7 +147,7 @@ def chained(pages: DataFrame, tokens: DataFrame, chain: Sequence[Strategy], key:
     for order, strategy in enumerate(chain):
         own = attempt(left, left_tokens, strategy, order, key)
         last = order + 1 == len(chain)
-        own = own if last else own.persist()  # read here and to find what is left
+        own = own if last else kept(own)  # read here and to find what is left
         found = own if found is None else found.unionByName(own)
         if not last:
             done = clean(own).select(key)
@@ -131,13 +164,22 @@ def pick(found: DataFrame, key: str = "slug") -> DataFrame:
     return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def documents(picked: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def failures(picked: DataFrame, key: str = "slug") -> DataFrame:
+    """The pages that no strategy could read: key, strategy_name and the last message."""
+    return picked.where(F.col("document").isNull()).select(key, "strategy_name", F.element_at("warnings", -1)["message"].alias("message"))
+
+
+def documents(picked: DataFrame, overrides: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """The documents of the picked attempts, with their settings' fields. Warnings are those of the
-    attempt: an override doesn't change them."""
+    attempt: an override doesn't change them. Pages that no strategy could read are left out, and are
+    what ``failures`` gives; if strict, the first of them fails the job with its message."""
+    if strict:
+        message = F.concat(F.lit("no strategy could read the page: "), F.element_at("warnings", -1)["message"])
+        picked = picked.withColumn("document", F.coalesce("document", F.raise_error(message).cast(picked.schema["document"].dataType)))
     rows = picked.where(F.col("document").isNotNull()).select("document.*")
     return rows if overrides is None else settings.apply(rows, overrides)
 
 
-def parse(pages: DataFrame, chain: Sequence[Strategy] | None = None, key: str = "slug", **tokeniser) -> DataFrame:
+def parse(pages: DataFrame, chain: Sequence[Strategy] | None = None, key: str = "slug", strategy: Strategy | None = None, strict: bool = False, **tokeniser) -> DataFrame:
     """pages(key, html, source_url) to documents, one row each."""
-    return documents(pick(attempts(pages, chain, key, **tokeniser), key), settings.table(pages.sparkSession))
+    return documents(pick(attempts(pages, chain, key, strategy=strategy, **tokeniser), key), settings.table(pages.sparkSession), strict)

@@ -15,12 +15,14 @@ from pagewright.operators import segment
 
 @dataclass(frozen=True)
 class Strategy:
-    """split: (tokens, key) -> rows with body, title_pos, is_body, is_note, first_body. The columns
-    of find_body and find_title come from it. drop_preamble: (rows, key) -> rows with start. The
-    others take the columns they judge."""
+    """Each of the first four parts is (rows, key) -> rows with further columns: find_body adds body and
+    inside, find_title title_pos, split_notes is_body and is_note, drop_preamble start. The others take
+    the columns they judge; title_block takes a title's lines and gives its struct."""
 
     name: str
-    split: Callable[[DataFrame, str], DataFrame] = segment.split
+    find_body: Callable[[DataFrame, str], DataFrame] = segment.find_body
+    find_title: Callable[[DataFrame, str], DataFrame] = segment.find_title
+    split_notes: Callable[[DataFrame, str], DataFrame] = segment.split_notes
     drop_preamble: Callable[[DataFrame, str], DataFrame] = segment.drop_contents
     title_block: Callable[[Column], Column] = tx.title_block
     is_heading: Callable[[Column], Column] = segment.is_heading

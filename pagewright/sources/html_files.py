@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import derive_slug
+from pagewright.functions.text import SLUG_PATTERNS, derive_slug
 
 
 def scan(spark: SparkSession, pattern: str) -> DataFrame:
@@ -25,8 +27,15 @@ def allowed(urls: DataFrame, robots: DataFrame, host: str = "host") -> DataFrame
     return urls.join(rules, urls[host] == rules["_host"], "left").where(F.coalesce("_allowed", F.lit(True))).drop("_host", "_allowed")
 
 
-def fetch(urls: list[str], folder: str, get, allows, pause=1.0) -> list[tuple[str, str]]:
-    """One URL after another into folder/slug.html by the caller's get(url) -> bytes, at least
+def slug_of(url: str) -> str:
+    """What derive_slug gives, for one URL on the driver."""
+    path = re.sub(r"[?#].*", "", re.sub(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?", "", url, count=1), flags=re.DOTALL) or url
+    stem = path.rsplit("/", 1)[-1].removesuffix(".html").removesuffix(".htm")
+    return next((m[1] for p in SLUG_PATTERNS if (m := re.match(p, stem))), stem)
+
+
+def fetch(urls: list[str], folder: str, get, allows, pause=1.0, slug: str | None = None) -> list[tuple[str, str]]:
+    """One URL after another into folder/slug.html (its own slug, if one is given) by the caller's get(url) -> bytes, at least
     ``pause`` seconds apart, where allows(url) isn't False; gives (url, fault) of those that failed.
     Runs on the driver: a rate limit leaves nothing to distribute."""
     import time
@@ -40,9 +49,8 @@ def fetch(urls: list[str], folder: str, get, allows, pause=1.0) -> list[tuple[st
         try:
             if allows(url) is False:
                 raise PermissionError(f"robots.txt disallows {url}")
-            stem = url.split("#")[0].split("?")[0].rstrip("/").rsplit("/", 1)[-1]
             Path(folder).mkdir(parents=True, exist_ok=True)
-            Path(folder, f"{stem.removesuffix('.html').removesuffix('.htm')}.html").write_bytes(get(url))
+            Path(folder, f"{slug or slug_of(url)}.html").write_bytes(get(url))
         except Exception as fault:  # noqa: BLE001  a failed URL is a result
             failed.append((url, str(fault)))
     return failed

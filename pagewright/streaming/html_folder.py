@@ -22,6 +22,9 @@ def start(pages: DataFrame, target: str, checkpoint: str, **tokeniser) -> Stream
 
     def one(batch: DataFrame, number: int) -> None:
         found = parse.pick(parse.attempts(batch, **tokeniser))
-        parse.documents(found, overrides.table(batch.sparkSession)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        try:
+            parse.documents(found, overrides.table(batch.sparkSession)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        finally:
+            parse.release()
 
     return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

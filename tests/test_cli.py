@@ -18,7 +18,12 @@ def test_ingest_and_build(spark, tmp_path, capsys):
     assert '#section-heading("Introduction")' in (tmp_path / "output" / "2001-03-25-benedict-xvi-nova.typ").read_text(encoding="utf-8")
 
 
-def test_arguments():
+    assert (tmp_path / "templates" / "default.typ").exists() and "#let signature(" in (tmp_path / "templates" / "lib" / "typography.typ").read_text()
+
+
+def test_arguments(tmp_path):
+    with pytest.raises(SystemExit):
+        cli.main(["fetch", "http://a", "http://b", "--slug", "x"])
     with pytest.raises(SystemExit):
         cli.main(["build"])
     with pytest.raises(SystemExit):

@@ -90,7 +90,7 @@ def test_pick_and_overrides(spark, attempts):
 
 def test_strategies():
     own = st.DEFAULT.replace(name="own")
-    assert own.split is st.DEFAULT.split and st.get("permissive") is st.PERMISSIVE
+    assert own.split_notes is st.DEFAULT.split_notes and st.get("permissive") is st.PERMISSIVE
     with pytest.raises(AttributeError):
         own.name = "x"
     with pytest.raises(KeyError):
@@ -99,6 +99,43 @@ def test_strategies():
     assert st.get("own") is own
 
 
+def test_every_part_of_a_strategy_is_used(spark):
+    pages = spark.createDataFrame([("a", sample.page(), None)], SCHEMA)
+    own = {
+        "title_block": lambda lines: F.struct(F.lit("Own").alias("title"), F.lit(None).cast("string").alias("subtitle"), F.lit("Some One").alias("pope"), F.lit("").alias("salutation")),
+        "find_title": lambda rows, key: rows.withColumn("title_pos", F.lit(1)),
+        "split_notes": lambda rows, key: rows.withColumns({"is_body": F.col("inside"), "is_note": F.lit(False)}),
+        "find_body": lambda rows, key: rows.withColumns({"body": F.lit(None).cast("int"), "inside": F.lit(False)}),
+        "drop_preamble": lambda rows, key: rows.withColumn("start", F.lit(6)),
+        "is_heading": lambda own_text: F.lit(False),
+        "chapter_numeral": lambda text: F.lit(None).cast("string"),
+        "is_dateline": lambda text: F.lit(False),
+        "is_signature": lambda text: F.lit(False),
+    }
+    usual = parse.pick(parse.attempts(pages, strategy=st.DEFAULT)).first().asDict(True)
+    for name, part in own.items():
+        found = parse.pick(parse.attempts(pages, strategy=st.DEFAULT.replace(name="own", **{name: part}))).first().asDict(True)
+        assert found["document"] != usual["document"], name
+    document = parse.parse(pages, strategy=st.DEFAULT.replace(name="own", title_block=own["title_block"])).first()
+    assert (document.title, document.author_slug) == ("Own", "some-one")
+    parse.release()
+
+
+def test_failures_are_reported(spark, attempts):
+    picked = parse.pick(attempts)
+    assert {r.slug: r.message for r in parse.failures(picked).collect()}["none"] == "permissive: body container not found"
+    with pytest.raises(Exception, match="no strategy could read the page"):
+        parse.documents(picked, strict=True).collect()
+    with pytest.warns(parse.ParseWarning, match="strategy-crashed"):
+        parse.warn(attempts)
+
+
+def test_deep_pages():
+    deep = 5000
+    row = paragraphs('<div class="vaticanrichtext">' + "<span>" * deep + "<p>" + "<i>" * deep + "x" + "</i>" * deep + "</p>")[0]
+    assert row["text_raw"] == "x" and row["lines"] == ["x"] and row["md"].strip("*") == "x"
+
+
 def test_corpus_and_typst(spark, attempts):
     docs = parse.documents(parse.pick(attempts)).where("title_slug = 'good'")
     text = corpus.render(normalize(docs)).first().text
@@ -145,7 +182,7 @@ def test_typst_follows_chains_of_notes():
 def test_typst_inline():
     notes = {1: "see [^2]", 2: "end", 3: "again [^3]"}
     assert typst.markup("a*b*(c) [^1] [^9] #x", notes) == "a#emph[b]​(c) #footnote[see #footnote[end]] #footnote[\\[footnote 9 missing from corpus\\]] \\#x"
-    assert typst.markup("[^3]", notes).count("#footnote") <= typst.DEPTH + 1
+    assert typst.markup("[^3]", notes).count("#footnote") == 2
     assert typst.opening("One two three four five") == "#smallcaps[#lower[One two three four]] five"
     assert typst.opening("#emph[x]") == "#emph[x]" or "#smallcaps" in typst.opening("#emph[x]")
 
@@ -183,6 +220,12 @@ def test_views_and_stand_ins(spark, attempts):
 def test_sources(spark, tmp_path):
     a, b = tmp_path / "a", tmp_path / "b"
     assert html_files.fetch(["http://x/one.html", "http://x/two.html"], str(a), lambda u: u.encode(), lambda u: "two" not in u, 0) == [("http://x/two.html", "robots.txt disallows http://x/two.html")]
+    assert html_files.fetch(["http://x/a/hf_some-one_enc_01012001_nova-spes.html?x=/y"], str(tmp_path / "c"), lambda u: b"", lambda u: True, 0) == []
+    assert html_files.fetch(["http://x/a"], str(tmp_path / "c"), lambda u: b"", lambda u: True, 0, "own") == []
+    assert sorted(p.name for p in (tmp_path / "c").iterdir()) == ["nova-spes.html", "own.html"]
+    urls = ["http://x/12-enciclica-a.htm", "x/y/7-b.html#z", "http://x", "http://x/", "a?b", "", "papa-francesco_20_enciclica-c.html"]
+    rows = html_files.slugs(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
+    assert {r.url: html_files.slug_of(r.url) for r in rows} == {r.url: r.slug for r in rows}
     b.mkdir()
     (b / "one.html").write_text("fixture")
     (b / "three.html").write_text("fix\nture")
