@@ -21,8 +21,8 @@ shingle more), at every size of the corpus. The order is from rare to common, by
 sample of texts, which decides the cost and never the result. Within a key, pairs go whose sizes, or
 the shingles left after the common one, or parities of the sets rule the similarity out. First each
 text meets its neighbours by size, and two of its pairs at most are verified on the whole sets; then
-come the other pairs, of all rows of a key, that are not in one component yet, so that a dense group
-doesn't yield all of its pairs. A link is exact up to equal 64-bit hashes.
+come pairs of all rows of a key that span what isn't in one component yet, and at last all pairs that
+are still apart, so that a dense group doesn't yield all of its pairs. A link is exact up to equal 64-bit hashes.
 
 Components. Minimum labels travel along the forest's edges with pointer jumping, in DataFrames that
 are cut by checkpoints; nothing about single documents reaches the driver.
@@ -408,9 +408,9 @@ def near_pairs(dealt: DataFrame) -> DataFrame:
     return mapped(dealt, run, "u long, v long, key long, node long, size int, place int")
 
 
-def far_pairs(dealt: DataFrame) -> DataFrame:
-    """u, v: all candidates within a key, of rows (key, node, size, place, label, odd) of unlike labels,
-    that parities don't rule out."""
+def far_pairs(dealt: DataFrame, spanning: bool) -> DataFrame:
+    """u, v: candidates within a key, of rows (key, node, size, place, label, odd) of unlike labels, that
+    parities don't rule out: all of them, or, if spanning, so many that each key's are joined by them."""
 
     def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
         odd = batch.column("odd").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
@@ -418,7 +418,7 @@ def far_pairs(dealt: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node, size, place, label, odd in whole_keys(batches, columns):
-            size = size.astype(np.int64)
+            size, label = size.astype(np.int64), label.copy()
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             us, vs, held = [], [], 0
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
@@ -429,6 +429,11 @@ def far_pairs(dealt: DataFrame) -> DataFrame:
                     if not len(at):
                         continue
                     at = at[distances(odd[at], odd[i]).astype(np.int64) * sum(SHARED) <= (size[at] + size[i]) * (SHARED[1] - SHARED[0])]
+                    if spanning and len(at):
+                        met, first = np.unique(label[at], return_index=True)
+                        at = at[first]
+                        own = label[a:b]
+                        own[np.isin(own, met)] = label[i]
                     us.append(np.minimum(node[i], node[at]))
                     vs.append(np.maximum(node[i], node[at]))
                     held += len(at)
@@ -463,9 +468,15 @@ def similar(pairs: DataFrame, held: DataFrame, docs: DataFrame, key: str, text:
     return written(found.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*"), "edges")
 
 
+def labelled(held: DataFrame, moved: DataFrame) -> DataFrame:
+    """node, label and number, a hash of the label, which may be of any type: of all nodes, moved or not."""
+    both = held.join(moved.withColumnsRenamed({"fp": "node", "label": "moved"}), "node", "left").select("node", F.coalesce("moved", "label").alias("label"))
+    return written(both.withColumn("number", F.xxhash64("label")), "labels")
+
+
 def unlike(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs that aren't in one component yet."""
-    one, other = labels.select(F.col("node").alias("u"), F.col("label").alias("a")), labels.select(F.col("node").alias("v"), F.col("label").alias("b"))
+    one, other = labels.select(F.col("node").alias("u"), F.col("number").alias("a")), labels.select(F.col("node").alias("v"), F.col("number").alias("b"))
     return pairs.join(one, "u").join(other, "v").where("a <> b").select("u", "v")
 
 
@@ -479,21 +490,20 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = written(near_pairs(by_key(dealt_prefixes(prints))), "candidates")
     sizes = written(prints.where(F.size("odd") > 0).groupBy("node").agg(F.first("size").alias("size"), F.first("odd").alias("odd")), "sizes")
     near = written(not_ruled_out(found.where("u IS NOT NULL").select("u", "v").distinct(), sizes), "near")
-    # At first two pairs a text at most: what they join needs no further pair.
+    # At first two pairs a text at most; then pairs that span what is still apart, if all of them hold;
+    # then all that are apart even so, which are few.
     some = near.groupBy("u").agg(F.min("v").alias("v")).unionByName(near.groupBy("v").agg(F.min("u").alias("u")))
     edges = similar(written(some.distinct(), "first"), held, docs, key, text)
-    moved = components(nodes, edges)
-    number = F.xxhash64("label")  # of any type
-    own = written(held.join(moved.withColumnsRenamed({"fp": "node", "label": "moved"}), "node", "left").select("node", F.coalesce("moved", "label").alias("label")).withColumn("number", number), "labels")
-    numbered = own.select("node", F.col("number").alias("label"))
-    large = written(found.where("u IS NULL").select("key", "node", "size", "place").join(numbered, "node"), "large")
-    apart = large.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-    rows = large.join(apart, "key", "left_semi").join(sizes.select("node", "odd"), "node").select("key", "node", "size", "place", "label", "odd")
-    further = written(unlike(near, numbered).unionByName(far_pairs(by_key(rows))).distinct(), "further")
-    labels = own.select("node", F.col("label").alias("component"))
-    if not further.isEmpty():
-        more = similar(further, held, docs, key, text)
-        if not more.isEmpty():
-            moved = components(nodes, edges.unionByName(more))
-            labels = written(held.join(moved.withColumnsRenamed({"fp": "node", "label": "moved"}), "node", "left").select("node", F.coalesce("moved", "label").alias("component")), "labels")
+    labels = labelled(held, components(nodes, edges))
+    large = written(found.where("u IS NULL").select("key", "node", "size", "place"), "large")
+    for spanning in (True, False):
+        numbered = written(large.join(labels.select("node", F.col("number").alias("label")), "node"), "numbered")
+        apart = numbered.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+        rows = numbered.join(apart, "key", "left_semi").join(sizes.select("node", "odd"), "node").select("key", "node", "size", "place", "label", "odd")
+        further = written(unlike(near, labels).unionByName(far_pairs(by_key(rows), spanning)).distinct(), "further")
+        if further.isEmpty():
+            break
+        edges = edges.unionByName(similar(further, held, docs, key, text))
+        labels = labelled(held, components(nodes, edges))
+    labels = labels.select("node", F.col("label").alias("component"))
     return prints.select(key, "text_hash", "node").join(labels, "node", "left").select(key, "text_hash", F.coalesce("component", F.col(key)).alias("component"))
