@@ -19,8 +19,8 @@ Similar texts. Fingerprints of 64 bits can't hold a similarity of 0.8 apart from
 fixed order of shingles, two sets of a similarity of 0.8 share one of their first fifths (and one
 shingle more), at every size of the corpus. The order is from rare to common, by counts over a
 sample of texts, which decides the cost and never the result. Within a key, pairs go whose sizes, or
-the shingles left after the common one, or parities of the sets rule the similarity out. First each
-text meets its neighbours by size, and two of its pairs at most are verified on the whole sets; then
+the shingles left after the common one, or parities of the sets rule the similarity out; long sets,
+which fill those parities, are held against longer ones. First each text meets its neighbours by size, and two of its pairs at most are verified on the whole sets; then
 come pairs of all rows of a key that span what isn't in one component yet, and at last all pairs that
 are still apart, so that a dense group doesn't yield all of its pairs. A link is exact up to equal 64-bit hashes.
 
@@ -41,7 +41,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -263,7 +263,7 @@ SHARED, WIDE_WIDTH = (4, 5), 5
 #: They set the order of shingles and so the cost; links don't depend on them.
 SAMPLE, SAMPLE_PART, COMMON = 1 << 13, 64, 1 << 17
 
-#: Bits of a set's parities.
+#: Bits of a set's parities. Sets of over half as many shingles fill them, and have further ones.
 PARITIES = 2048
 
 
@@ -286,11 +286,18 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(shingles)
 
 
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """Whether an odd number of shingles falls on each bit. Two sets' parities differ in as many bits
-    at most as they differ in shingles."""
-    odd = np.bincount((shingles % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parities(shingles: np.ndarray, bits: int = PARITIES) -> np.ndarray:
+    """Whether an odd number of shingles falls on each bit, of a power of two. Two sets' parities differ
+    in as many bits at most as they differ in shingles."""
+    odd = np.zeros(bits, np.uint8)
+    np.add.at(odd, (shingles % np.uint64(bits)).astype(np.int64), 1)
+    return np.packbits(odd & 1).view(np.int64)
+
+
+def further_parities(shingles: np.ndarray) -> np.ndarray:
+    """Parities of two to four bits a shingle, or none where PARITIES bits are so many."""
+    bits = 1 << max(0, 2 * len(shingles) - 1).bit_length()
+    return parities(shingles, bits) if bits > PARITIES else np.zeros(0, np.int64)
 
 
 def with_sets(rows: DataFrame, text: str) -> DataFrame:
@@ -338,8 +345,8 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.nd
 
 
 def prefixes(docs: DataFrame, key: str, text: str, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key, text_hash, node, size, odd: the set's parities, and first: its prefix, both empty for a set
-    that the task has met."""
+    """key, text_hash, node, size, odd and more: the set's parities and further parities, and first: its
+    prefix, all empty for a set that the task has met."""
     import xxhash
 
     kind = docs.schema[key]
@@ -348,7 +355,7 @@ def prefixes(docs: DataFrame, key: str, text: str, common: tuple[np.ndarray, np.
         seen: set[int] = set()
         for batch in batches:
             for part in cut_batches(batch, text):
-                nodes, sizes, odd, first = [], [], [], []
+                nodes, sizes, odd, more, first = [], [], [], [], []
                 for of, x in zip(part.column(key).is_valid().to_pylist(), chunks(part.column(text))):
                     own = shingle_set(x)
                     node = xxhash.xxh3_64_intdigest(own.tobytes())
@@ -358,10 +365,11 @@ def prefixes(docs: DataFrame, key: str, text: str, common: tuple[np.ndarray, np.
                     if new:
                         seen.add(node)
                     odd.append(parities(own) if new else own[:0])
+                    more.append(further_parities(own) if new else own[:0])
                     first.append(prefix(own, common) if new else own[:0])
-                yield pa.RecordBatch.from_arrays([part.column(key), part.column("text_hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), listed([x.view(np.int64) for x in odd]), listed([x.view(np.int64) for x in first])], out.names)
+                yield pa.RecordBatch.from_arrays([part.column(key), part.column("text_hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *(listed([x.view(np.int64) for x in lists]) for lists in (odd, more, first))], out.names)
 
-    out = T.StructType([kind, *T.StructType.fromDDL("text_hash long, node long, size int, odd array<long>, first array<long>")])
+    out = T.StructType([kind, *T.StructType.fromDDL("text_hash long, node long, size int, odd array<long>, more array<long>, first array<long>")])
     return mapped(docs.select(key, text, F.xxhash64(text).alias("text_hash")), run, out)
 
 
@@ -451,10 +459,32 @@ def with_both(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return pairs.join(own.select(F.col("node").alias("u"), F.struct(*own.columns).alias("a")), "u").join(own.select(F.col("node").alias("v"), F.struct(*own.columns).alias("b")), "v")
 
 
+def differing(a: Column, b: Column) -> Column:
+    """Differing bits of two sets' parities. Those of more bits are folded once: similar sets' sizes are
+    so near that one has twice the other's bits at most; null beyond that."""
+    bits = F.least(F.size(a), F.size(b))
+
+    def folded(x: Column) -> Column:
+        return F.when(F.size(x) > bits, F.zip_with(F.slice(x, F.lit(1), bits), F.slice(x, bits + 1, bits), lambda y, z: y.bitwiseXOR(z))).otherwise(x)
+
+    return F.aggregate(F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+
+
+def ruled_out() -> Column:
+    """Whether the parities of the structs a and b (size, odd) differ in more bits than similar sets'."""
+    return F.coalesce(differing(F.col("a.odd"), F.col("b.odd")) * sum(SHARED) > (F.col("a.size") + F.col("b.size")) * (SHARED[1] - SHARED[0]), F.lit(True))
+
+
 def not_ruled_out(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """The pairs whose parities, in sizes(node, size, odd), leave it open that they are similar."""
-    apart = F.aggregate(F.zip_with("a.odd", "b.odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return with_both(pairs, sizes).where(apart * sum(SHARED) <= (F.col("a.size") + F.col("b.size")) * (SHARED[1] - SHARED[0])).select("u", "v")
+    return with_both(pairs, sizes).where(~ruled_out()).select("u", "v")
+
+
+def still_open(pairs: DataFrame, long_sets: DataFrame) -> DataFrame:
+    """The pairs but those of two long sets whose further parities, in long_sets(node, size, odd), rule
+    them out."""
+    gone = with_both(pairs, long_sets).where(ruled_out()).select("u", "v")
+    return pairs.join(gone, ["u", "v"], "left_anti")
 
 
 def similar(pairs: DataFrame, held: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -489,7 +519,9 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     nodes = held.select(F.col("node").alias("fp"), "label")
     found = written(near_pairs(by_key(dealt_prefixes(prints))), "candidates")
     sizes = written(prints.where(F.size("odd") > 0).groupBy("node").agg(F.first("size").alias("size"), F.first("odd").alias("odd")), "sizes")
-    near = written(not_ruled_out(found.where("u IS NOT NULL").select("u", "v").distinct(), sizes), "near")
+    long_sets = written(prints.where(F.size("more") > 0).groupBy("node").agg(F.first("size").alias("size"), F.first("more").alias("odd")), "long_sets")
+    open_pairs = written(not_ruled_out(found.where("u IS NOT NULL").select("u", "v").distinct(), sizes), "open")
+    near = written(still_open(open_pairs, long_sets), "near")
     # At first two pairs a text at most; then pairs that span what is still apart, if all of them hold;
     # then all that are apart even so, which are few.
     some = near.groupBy("u").agg(F.min("v").alias("v")).unionByName(near.groupBy("v").agg(F.min("u").alias("u")))
@@ -500,7 +532,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         numbered = written(large.join(labels.select("node", F.col("number").alias("label")), "node"), "numbered")
         apart = numbered.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
         rows = numbered.join(apart, "key", "left_semi").join(sizes.select("node", "odd"), "node").select("key", "node", "size", "place", "label", "odd")
-        further = written(unlike(near, labels).unionByName(far_pairs(by_key(rows), spanning)).distinct(), "further")
+        far = written(far_pairs(by_key(rows), spanning), "far")
+        further = written(unlike(near, labels).unionByName(still_open(far, long_sets)).distinct(), "further")
         if further.isEmpty():
             break
         edges = edges.unionByName(similar(further, held, docs, key, text))
