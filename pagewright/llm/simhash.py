@@ -153,8 +153,8 @@ def forest(fps: np.ndarray, radius: int, refs: np.ndarray) -> list[tuple[int, in
 TOGETHER = 1 << 16
 
 
-def whole_keys(batches: Iterator[pa.RecordBatch], columns: Callable[[pa.RecordBatch], list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
-    """The columns of rows that are sorted by the first, key, cut only between keys: about TOGETHER
+def whole_keys(batches: Iterator[pa.RecordBatch], columns: Callable[[pa.RecordBatch], list[np.ndarray]], together: int = TOGETHER) -> Iterator[list[np.ndarray]]:
+    """The columns of rows that are sorted by the first, key, cut only between keys: about together
     rows at a time, or a longer key."""
     pending: list[list[np.ndarray]] = []
     held = 0
@@ -164,7 +164,7 @@ def whole_keys(batches: Iterator[pa.RecordBatch], columns: Callable[[pa.RecordBa
         row = columns(batch)
         pending.append(row)
         held += len(row[0])
-        if held < TOGETHER or pending[0][0][0] == row[0][-1]:  # few, or all of one key: it goes on
+        if held < together or pending[0][0][0] == row[0][-1]:  # few, or all of one key: it goes on
             continue
         rows = [np.concatenate(x) for x in zip(*pending)]
         cut = int(np.searchsorted(rows[0], rows[0][-1]))
@@ -425,7 +425,7 @@ def far_pairs(dealt: DataFrame, spanning: bool) -> DataFrame:
         return [*(batch.column(x).to_numpy() for x in ("key", "node", "size", "place", "label")), odd]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, size, place, label, odd in whole_keys(batches, columns):
+        for key, node, size, place, label, odd in whole_keys(batches, columns, TOGETHER >> 3):
             size, label = size.astype(np.int64), label.copy()
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             us, vs, held = [], [], 0
@@ -498,10 +498,18 @@ def similar(pairs: DataFrame, held: DataFrame, docs: DataFrame, key: str, text:
     return written(found.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*"), "edges")
 
 
-def labelled(held: DataFrame, moved: DataFrame) -> DataFrame:
-    """node, label and number, a hash of the label, which may be of any type: of all nodes, moved or not."""
-    both = held.join(moved.withColumnsRenamed({"fp": "node", "label": "moved"}), "node", "left").select("node", F.coalesce("moved", "label").alias("label"))
-    return written(both.withColumn("number", F.xxhash64("label")), "labels")
+def numbered(labels: DataFrame) -> DataFrame:
+    """node, label and number, which stands for the label: itself, or a hash if it isn't a number."""
+    whole = isinstance(labels.schema["label"].dataType, T.IntegralType)
+    return written(labels.withColumn("number", F.col("label").cast("long") if whole else F.xxhash64("label")), "labels")
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels once further edges between nodes join components: these are nodes of a smaller graph."""
+    one, other = labels.select(F.col("node").alias("u"), F.col("number").alias("a")), labels.select(F.col("node").alias("v"), F.col("number").alias("b"))
+    between = written(edges.join(one, "u").join(other, "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "between")
+    moved = components(labels.select(F.col("number").alias("fp"), "label").distinct(), between)
+    return numbered(labels.join(moved.withColumnsRenamed({"fp": "number", "label": "moved"}), "number", "left").select("node", F.coalesce("moved", "label").alias("label")))
 
 
 def unlike(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -526,17 +534,17 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # then all that are apart even so, which are few.
     some = near.groupBy("u").agg(F.min("v").alias("v")).unionByName(near.groupBy("v").agg(F.min("u").alias("u")))
     edges = similar(written(some.distinct(), "first"), held, docs, key, text)
-    labels = labelled(held, components(nodes, edges))
+    moved = components(nodes, edges).withColumnsRenamed({"fp": "node", "label": "moved"})
+    labels = numbered(held.join(moved, "node", "left").select("node", F.coalesce("moved", "label").alias("label")))
     large = written(found.where("u IS NULL").select("key", "node", "size", "place"), "large")
     for spanning in (True, False):
-        numbered = written(large.join(labels.select("node", F.col("number").alias("label")), "node"), "numbered")
-        apart = numbered.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-        rows = numbered.join(apart, "key", "left_semi").join(sizes.select("node", "odd"), "node").select("key", "node", "size", "place", "label", "odd")
+        labelled = written(large.join(labels.select("node", F.col("number").alias("label")), "node"), "labelled")
+        apart = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+        rows = labelled.join(apart, "key", "left_semi").join(sizes.select("node", "odd"), "node").select("key", "node", "size", "place", "label", "odd")
         far = written(far_pairs(by_key(rows), spanning), "far")
         further = written(unlike(near, labels).unionByName(still_open(far, long_sets)).distinct(), "further")
         if further.isEmpty():
             break
-        edges = edges.unionByName(similar(further, held, docs, key, text))
-        labels = labelled(held, components(nodes, edges))
+        labels = merged(labels, similar(further, held, docs, key, text))
     labels = labels.select("node", F.col("label").alias("component"))
     return prints.select(key, "text_hash", "node").join(labels, "node", "left").select(key, "text_hash", F.coalesce("component", F.col(key)).alias("component"))
