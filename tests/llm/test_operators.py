@@ -421,3 +421,18 @@ def test_pipeline(spark, tmp_path):
     assert "menu home" not in last[3].text and item not in last[103].text and last[103].n_chars == len(last[103].text)
     packed = corpus_pipeline.run(spark, folder).collect()
     assert {x.doc_id for x in packed} == clean
+
+
+def test_parities_rule_out_no_similar_pair(spark):
+    """Bits of one set, or folded where the other's are fewer, differ in no more than the sets do."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 64, 9000, dtype=np.uint64)
+    rows = []
+    for n, m, shared in ((1000, 1100, 950), (1024, 1025, 1000), (2000, 2100, 1900), (4000, 4200, 4000), (3000, 3000, 10), (1025, 1025, 1025)):
+        a, b = np.unique(pool[:n]), np.unique(pool[n - shared : n - shared + m])
+        rows.append((simhash.further_parities(a).tolist(), simhash.further_parities(b).tolist(), len(np.setxor1d(a, b))))
+    assert [len(a) for a, _, _ in rows[:4]] == [0, 0, 64, 128] and len(rows[3][1]) == 256
+    held = spark.createDataFrame(rows, "a array<long>, b array<long>, apart int").where("size(a) > 0 AND size(b) > 0")
+    found = held.select(simhash.differing(F.col("a"), F.col("b")).alias("bits"), "apart").collect()
+    assert len(found) == 4 and all(r.bits <= r.apart and (r.apart - r.bits) % 2 == 0 for r in found)
+    assert found[-1].bits == 0 and found[2].bits > 6000 // 9
