@@ -7,7 +7,9 @@ included. Fewer words than a shingle: one shingle of the whole sequence; none: z
 Links. Two fingerprints within ``radius`` bits are linked. Equal fingerprints are collapsed first,
 so copies never meet each other. The 64 bits are cut into blocks; two linked fingerprints agree on
 all but ``radius`` of them, so each set of agreeing blocks is a key of an exchange. Nearly all keys
-have SMALL rows at most, which are all compared. Within a larger key, a
+have SMALL rows at most, which are all compared. A key of over HOT rows is not gathered: its rows are
+dealt again, by finer keys within it, of which linked fingerprints share one too. Within a key of more
+than SMALL rows, a
 table holds every fingerprint's Hamming distances to reference fingerprints (pivots): by the
 triangle inequality linked fingerprints differ by ``radius`` at most in every coordinate, so rows
 sorted by the first coordinate are cut to a band, those with a larger difference in another are
@@ -52,6 +54,9 @@ SEED = 42
 #: Keys of so many rows at most compare all of them, which is a constant number of pairs a row.
 SMALL = 8
 
+#: Keys of fingerprints of more rows are cut into finer keys before their rows are compared.
+HOT = 1 << 12
+
 #: Of larger sets of similar texts, neighbours by size that are looked at first.
 AROUND = 2
 
@@ -179,51 +184,101 @@ def plain(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
 
-def spanning(dealt: DataFrame, radius: int, words: int) -> DataFrame:
-    """Edges u, v, in both senses, of the rows (key, node, wide) that are sorted by key in their
-    partitions; wide: the fingerprint's 8 * words bytes."""
+def parts_of_keys(batches: Iterator[pa.RecordBatch], hot: int | None) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Like whole_keys, but if hot is given a key of over TOGETHER and hot rows isn't gathered: its rows come
+    in several parts, each of that key alone, with True."""
+    if hot is None:
+        yield from ((rows, False) for rows in whole_keys(batches, plain))
+        return
+    pending: list[np.ndarray] | None = None
+    over = None  # the key that comes in parts
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = plain(batch)
+        if over is not None:
+            cut = int(np.searchsorted(rows[0], over, "right"))
+            if cut:
+                yield [x[:cut] for x in rows], True
+            if cut == len(rows[0]):
+                continue
+            rows, over = [x[cut:] for x in rows], None
+        pending = rows if pending is None else [np.concatenate(x) for x in zip(pending, rows)]
+        if len(pending[0]) < TOGETHER:
+            continue
+        cut = int(np.searchsorted(pending[0], pending[0][-1]))
+        if cut:
+            yield [x[:cut] for x in pending], False
+        pending = [x[cut:] for x in pending]
+        if len(pending[0]) > hot:
+            over = pending[0][-1]
+            yield pending, True
+            pending = None
+    if pending is not None:
+        yield pending, False
+
+
+def spanning(dealt: DataFrame, radius: int, hot: int | None) -> DataFrame:
+    """Edges u, v, in both senses, of the rows (key, node) that are sorted by key in their partitions;
+    node: the fingerprint. If hot is given, rows of keys of more rows come as they are, without u and v."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs = pivots(N_PIVOTS * words).reshape(N_PIVOTS, words)
-
-        def spans(key: np.ndarray, node: np.ndarray, wide: np.ndarray) -> pa.RecordBatch:
+        refs = pivots()[:, None]
+        names = ["u", "v", "key", "node"]
+
+        def put_off(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(key), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.array(key), pa.array(node)], names)
+
+        for (key, node), part in parts_of_keys(batches, hot):
+            if part:
+                yield put_off(key, node)
+                continue
+            wide = node.view(np.uint64)[:, None]
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             ends = np.r_[starts[1:], len(key)]
-            size = np.repeat(ends - starts, ends - starts)
+            count = ends - starts
+            size = np.repeat(count, count)
             u, v = [], []
             for apart in range(1, SMALL):  # keys of few rows: neighbours at each distance at once
                 at = np.flatnonzero((size[:-apart] <= SMALL) & (key[:-apart] == key[apart:]))
                 at = at[distances(wide[at], wide[at + apart]) <= radius]
                 u += node[at].tolist()
                 v += node[at + apart].tolist()
-            several = ends - starts > SMALL
-            for a, b in zip(starts[several].tolist(), ends[several].tolist()):
+            for a, b in zip(starts[count > SMALL].tolist(), ends[count > SMALL].tolist()):
+                if hot is not None and b - a > hot:
+                    yield put_off(key[a:b], node[a:b])
+                    continue
                 for x, y in forest(wide[a:b], radius, refs):
                     u.append(node[a + x])
                     v.append(node[a + y])
-            return pa.RecordBatch.from_arrays([pa.array([*u, *v], pa.int64()), pa.array([*v, *u], pa.int64())], ["u", "v"])
+            none = pa.nulls(2 * len(u), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([*u, *v], pa.int64()), pa.array([*v, *u], pa.int64()), none, none], names)
 
-        def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-            wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, words)
-            return [batch.column("key").to_numpy(), batch.column("node").to_numpy(), wide]
+    return mapped(dealt, run, "u long, v long, key long, node long")
 
-        for held in whole_keys(batches, columns):
-            yield spans(*held)
 
-    return mapped(dealt, run, "u long, v long").distinct()
+def dealt_by(rows: DataFrame, masks: list[int], *within: str) -> DataFrame:
+    """node (a fingerprint) once for each mask, under the key of the bits that it leaves, and of the
+    columns within."""
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    keys = F.array(*(F.xxhash64(*within, F.lit(i), F.col("node").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)))
+    return rows.select(F.explode(keys).alias("key"), "node").repartition("key").sortWithinPartitions("key")
 
 
-def dealt_by(rows: DataFrame, masks: list[int]) -> DataFrame:
-    """rows(fp, node, wide) once for each mask, under the key of the bits of fp that it leaves."""
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)))
-    return rows.select(F.explode(keys).alias("key"), "node", "wide").repartition("key").sortWithinPartitions("key")
+def finer_masks(radius: int) -> list[int]:
+    """The 64 bits dealt in turn to one block more than linked fingerprints can differ in, so that they
+    agree on one at least; each has its share of the bits that a key of whole blocks leaves open."""
+    return [sum(1 << b for b in range(i, 64, radius + 1)) for i in range(radius + 1)]
 
 
-def links(distinct: DataFrame, n: int, radius: int) -> DataFrame:
-    """Edges between distinct fingerprints that span every group linked within radius bits."""
-    rows = distinct.select("fp", F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("wide"))
-    return spanning(dealt_by(rows, block_keys(n, radius)[0]), radius, 1)
+def links(distinct: DataFrame, n: int, radius: int, hot: int = HOT) -> DataFrame:
+    """Edges between distinct fingerprints that span every group linked within radius bits. Keys of over
+    hot rows are cut into finer ones, which go to tasks of their own."""
+    rows = distinct.select(F.col("fp").alias("node"))
+    found = written(spanning(dealt_by(rows, block_keys(n, radius)[0]), radius, hot), "links")
+    finer = spanning(dealt_by(found.where("u IS NULL").select("key", "node"), finer_masks(radius), "key"), radius, None)
+    return found.where("u IS NOT NULL").select("u", "v").unionByName(finer.select("u", "v")).distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame, order: str = "label") -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -314,6 +315,54 @@ def test_components_of_chains(spark):
     assert all(found[signed[i]] == 79 for i in range(22)) and all(found.get(signed[i], 0) in (0, 100 - i) for i in range(22, n))
 
 
+def test_hot_keys_are_cut_and_lose_no_link(spark):
+    rng = np.random.default_rng(11)
+    top = 0x5A5A5A5A5 << 28  # all share their upper bits, and so some keys
+    centres = rng.integers(0, 1 << 28, 40).tolist()
+    fps = [0, -1, *(top | (centres[i % 40] ^ sum(1 << int(b) for b in rng.integers(0, 28, 3))) for i in range(900))]
+    fps = sorted({x - (1 << 64) if x >= 1 << 63 else x for x in fps})
+    wide = np.array(fps, np.int64).view(np.uint64)
+    apart = np.bitwise_count(wide[:, None] ^ wide[None])
+    label = list(range(len(fps)))
+    for _ in label:
+        new = [min(label[j] for j in np.flatnonzero(apart[i] <= 4)) for i in range(len(fps))]
+        if new == label:
+            break
+        label = new
+    nodes = spark.createDataFrame([(x,) for x in fps], "fp long").repartition(5)
+    masks = simhash.block_keys(len(fps), 4)[0]
+    dealt = simhash.dealt_by(nodes.withColumnRenamed("fp", "node"), masks)
+    assert simhash.spanning(dealt, 4, 50).where("u IS NULL").count() > len(fps)
+    for hot in (9, 50, 1 << 12):
+        edges = simhash.links(nodes, len(fps), 4, hot).collect()
+        place = {x: i for i, x in enumerate(fps)}
+        joined = list(range(len(fps)))
+
+        def root(i):
+            while joined[i] != i:
+                joined[i] = i = joined[joined[i]]
+            return i
+
+        for e in edges:
+            assert apart[place[e.u], place[e.v]] <= 4
+            a, b = sorted((root(place[e.u]), root(place[e.v])))
+            joined[b] = a
+        assert [root(i) for i in range(len(fps))] == label, hot
+
+
+def test_parts_of_keys(monkeypatch):
+    monkeypatch.setattr(simhash, "TOGETHER", 10)
+    keys = np.sort(np.r_[np.arange(20), np.full(70, 7), np.full(40, 12), np.full(6, 15)])
+    for step in (1, 3, 8, 200):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + step]), pa.array(np.arange(len(keys))[i : i + step])], ["key", "node"]) for i in range(0, len(keys), step)]
+        found = list(simhash.parts_of_keys(iter(batches), 9))
+        assert np.concatenate([rows[1] for rows, _ in found]).tolist() == list(range(len(keys)))
+        in_parts = {k for rows, part in found if part for k in rows[0].tolist()}
+        whole = [k for rows, part in found if not part for k in set(rows[0].tolist())]
+        assert len(whole) == len(set(whole)) and not in_parts & set(whole)
+        assert all(len(set(rows[0].tolist())) == 1 for rows, part in found if part)
+
+
 def test_similar_groups(spark):
     r = random.Random(4)
     base = [prose(150, r) for _ in range(120)]
