@@ -17,14 +17,16 @@ discarded, and only survivors are verified. A search visits each fingerprint onc
 it has reached, so that a dense group yields a spanning forest and never all of its pairs.
 
 Similar texts. Fingerprints of 64 bits can't hold a similarity of 0.8 apart from 0.6, so
-``similar_groups`` takes the set of each text's five-word shingles. Its keys can't miss: in any
+``similar_groups`` adds to these links, which it takes first if a radius is given, those of the sets of
+each text's five-word shingles, between texts that are apart even so. Its keys can't miss: in any
 fixed order of shingles, two sets of a similarity of 0.8 share one of their first fifths (and one
 shingle more), at every size of the corpus. The order is from rare to common, by counts over a
 sample of texts, which decides the cost and never the result. Within a key, pairs go whose sizes, or
 the shingles left after the common one, or parities of the sets rule the similarity out; long sets,
 which fill those parities, are held against longer ones. First each text meets its neighbours by size, and two of its pairs at most are verified on the whole sets; then
 come pairs of all rows of a key that span what isn't in one component yet, and at last all pairs that
-are still apart, so that a dense group doesn't yield all of its pairs. A link is exact up to equal 64-bit hashes.
+are still apart, so that a dense group doesn't yield all of its pairs. A link of sets is exact up to equal 64-bit
+hashes.
 
 Components. Minimum labels travel along the forest's edges with pointer jumping, in DataFrames that
 are cut by checkpoints; nothing about single documents reaches the driver.
@@ -287,9 +289,8 @@ def components(nodes: DataFrame, edges: DataFrame, order: str = "label") -> Data
     Labels of nodes are unlike each other. Each round takes the least label around a node, then
     the label that the owner of that label has got: paths shorten by half or more.
     """
-    inner = nodes.join(edges.select(F.col("u").alias("fp")).distinct(), "fp", "left_semi").checkpoint()
-    first = inner.select("fp", F.col("label").alias("own"), "label").checkpoint()
-    state = first
+    inner = nodes.join(edges.select(F.col("u").alias("fp")).distinct(), "fp", "left_semi")
+    state = inner.select("fp", F.col("label").alias("own"), "label").checkpoint()
     while True:
         around = edges.join(state.select(F.col("fp").alias("v"), "label"), "v").groupBy(F.col("u").alias("fp")).agg(F.min("label").alias("near"))
         lower = state.join(around, "fp", "left").select("fp", "own", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label")).checkpoint()
@@ -399,9 +400,9 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.nd
     return own[: n - (n * SHARED[0] + SHARED[1] - 1) // SHARED[1] + 1]
 
 
-def prefixes(docs: DataFrame, key: str, text: str, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def prefixes(docs: DataFrame, key: str, text: str, common: tuple[np.ndarray, np.ndarray], width: int | None = None) -> DataFrame:
     """key, text_hash, node, size, odd and more: the set's parities and further parities, and first: its
-    prefix, all empty for a set that the task has met."""
+    prefix, all empty for a set that the task has met; and fp, the fingerprint, if width is given."""
     import xxhash
 
     kind = docs.schema[key]
@@ -410,7 +411,7 @@ def prefixes(docs: DataFrame, key: str, text: str, common: tuple[np.ndarray, np.
         seen: set[int] = set()
         for batch in batches:
             for part in cut_batches(batch, text):
-                nodes, sizes, odd, more, first = [], [], [], [], []
+                nodes, sizes, odd, more, first, fps = [], [], [], [], [], []
                 for of, x in zip(part.column(key).is_valid().to_pylist(), chunks(part.column(text))):
                     own = shingle_set(x)
                     node = xxhash.xxh3_64_intdigest(own.tobytes())
@@ -422,9 +423,12 @@ def prefixes(docs: DataFrame, key: str, text: str, common: tuple[np.ndarray, np.
                     odd.append(parities(own) if new else own[:0])
                     more.append(further_parities(own) if new else own[:0])
                     first.append(prefix(own, common) if new else own[:0])
-                yield pa.RecordBatch.from_arrays([part.column(key), part.column("text_hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *(listed([x.view(np.int64) for x in lists]) for lists in (odd, more, first))], out.names)
+                    if width is not None:
+                        fps.append(fingerprint(x, width))
+                prints = [] if width is None else [pa.array(fps, pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(key), part.column("text_hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *(listed([x.view(np.int64) for x in lists]) for lists in (odd, more, first)), *prints], out.names)
 
-    out = T.StructType([kind, *T.StructType.fromDDL("text_hash long, node long, size int, odd array<long>, more array<long>, first array<long>")])
+    out = T.StructType([kind, *T.StructType.fromDDL("text_hash long, node long, size int, odd array<long>, more array<long>, first array<long>" + ("" if width is None else ", fp long"))])
     return mapped(docs.select(key, text, F.xxhash64(text).alias("text_hash")), run, out)
 
 
@@ -554,15 +558,16 @@ def similar(pairs: DataFrame, held: DataFrame, docs: DataFrame, key: str, text:
 
 
 def numbered(labels: DataFrame) -> DataFrame:
-    """node, label and number, which stands for the label: itself, or a hash if it isn't a number."""
-    whole = isinstance(labels.schema["label"].dataType, T.IntegralType)
-    return written(labels.withColumn("number", F.col("label").cast("long") if whole else F.xxhash64("label")), "labels")
+    """node, label (a key, and the node that it is of, as nodes may share a key) and number, that node."""
+    return written(labels.withColumn("number", F.col("label.node")), "labels")
 
 
 def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """The labels once further edges between nodes join components: these are nodes of a smaller graph."""
     one, other = labels.select(F.col("node").alias("u"), F.col("number").alias("a")), labels.select(F.col("node").alias("v"), F.col("number").alias("b"))
     between = written(edges.join(one, "u").join(other, "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "between")
+    if between.isEmpty():
+        return labels
     moved = components(labels.select(F.col("number").alias("fp"), "label").distinct(), between)
     return numbered(labels.join(moved.withColumnsRenamed({"fp": "number", "label": "moved"}), "number", "left").select("node", F.coalesce("moved", "label").alias("label")))
 
@@ -573,24 +578,37 @@ def unlike(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(one, "u").join(other, "v").where("a <> b").select("u", "v")
 
 
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def linked_sets(prints: DataFrame, key: str, radius: int) -> DataFrame:
+    """Edges u, v, in both senses, between nodes (sets of shingles) whose texts' fingerprints are within
+    radius bits: those of one fingerprint are joined by its least node, which stands for it in links."""
+    own = written(prints.where(F.col(key).isNotNull()).select("fp", "node").distinct(), "set_prints")
+    least = written(own.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    found = links(least, least.count(), radius)
+    one, other = least.select(F.col("fp").alias("u"), F.col("least").alias("a")), least.select(F.col("fp").alias("v"), F.col("least").alias("b"))
+    between = found.join(one, "u").join(other, "v").select("a", "b")
+    alike = own.join(least, "fp").select(F.explode(F.array(F.struct(F.col("node").alias("a"), F.col("least").alias("b")), F.struct(F.col("least").alias("a"), F.col("node").alias("b")))).alias("e")).select("e.*")
+    return written(between.unionByName(alike).where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "print_edges")
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int | None = None) -> DataFrame:
     """One row a document: key, text_hash (xxhash64 of the text, which tells texts of one key apart) and
     component: the smallest key among texts that links of a similarity of 0.8 of five-word shingles
-    reach."""
-    prints = written(prefixes(docs, key, text, common_shingles(docs, text)), "prefixes")
+    reach. If radius is given, fingerprints (of shingles of width words) within so many bits are links too,
+    and come first: only texts that they leave apart are held against each other."""
+    prints = written(prefixes(docs, key, text, common_shingles(docs, text), None if radius is None else width), "prefixes")
     held = written(prints.groupBy("node").agg(F.min(key).alias("label")).where(F.col("label").isNotNull()), "nodes")
-    nodes = held.select(F.col("node").alias("fp"), "label")
+    labels = numbered(held.select("node", F.struct("label", "node").alias("label")))
+    if radius is not None:
+        labels = merged(labels, linked_sets(prints, key, radius))
     found = written(near_pairs(by_key(dealt_prefixes(prints))), "candidates")
     sizes = written(prints.where(F.size("odd") > 0).groupBy("node").agg(F.first("size").alias("size"), F.first("odd").alias("odd")), "sizes")
     long_sets = written(prints.where(F.size("more") > 0).groupBy("node").agg(F.first("size").alias("size"), F.first("more").alias("odd")), "long_sets")
     open_pairs = written(not_ruled_out(found.where("u IS NOT NULL").select("u", "v").distinct(), sizes), "open")
-    near = written(still_open(open_pairs, long_sets), "near")
+    near = written(unlike(still_open(open_pairs, long_sets), labels), "near")
     # At first two pairs a text at most; then pairs that span what is still apart, if all of them hold;
     # then all that are apart even so, which are few.
     some = near.groupBy("u").agg(F.min("v").alias("v")).unionByName(near.groupBy("v").agg(F.min("u").alias("u")))
-    edges = similar(written(some.distinct(), "first"), held, docs, key, text)
-    moved = components(nodes, edges).withColumnsRenamed({"fp": "node", "label": "moved"})
-    labels = numbered(held.join(moved, "node", "left").select("node", F.coalesce("moved", "label").alias("label")))
+    labels = merged(labels, similar(written(some.distinct(), "first"), held, docs, key, text))
     large = written(found.where("u IS NULL").select("key", "node", "size", "place"), "large")
     for spanning in (True, False):
         labelled = written(large.join(labels.select("node", F.col("number").alias("label")), "node"), "labelled")
@@ -601,5 +619,5 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         if further.isEmpty():
             break
         labels = merged(labels, similar(further, held, docs, key, text))
-    labels = labels.select("node", F.col("label").alias("component"))
+    labels = labels.select("node", F.col("label.label").alias("component"))
     return prints.select(key, "text_hash", "node").join(labels, "node", "left").select(key, "text_hash", F.coalesce("component", F.col(key)).alias("component"))

@@ -485,3 +485,47 @@ def test_parities_rule_out_no_similar_pair(spark):
     found = held.select(simhash.differing(F.col("a"), F.col("b")).alias("bits"), "apart").collect()
     assert len(found) == 4 and all(r.bits <= r.apart and (r.apart - r.bits) % 2 == 0 for r in found)
     assert found[-1].bits == 0 and found[2].bits > 6000 // 9
+
+
+def test_near_dedup_links_by_fingerprints_and_by_sets(spark):
+    """Documents go by links of either kind, against brute force: 4 bits of SimHash, or a similarity of 0.8."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    texts = [t for pair in altered_pairs(r, 60) for t in pair]
+    phrase = prose(9, r)
+    texts += [" ".join([phrase] * 200 + [prose(60, r)]) for _ in range(3)]  # one fingerprint, sets unlike
+    for t in [prose(300, r) for _ in range(20)]:
+        texts += [t, f"{t} tail"]
+    texts += [None, "", texts[0]]
+    prints, sets = [print_of(t) for t in texts], [shingles_of((t or "").lower()) for t in texts]
+    top = list(range(len(texts)))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    by_print = by_set = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            near = (prints[i] ^ prints[j]).bit_count() <= 4
+            alike = sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            by_print, by_set = by_print + (near and not alike), by_set + (alike and not near)
+            if near or alike:
+                a, b = sorted((root(i), root(j)))
+                top[b] = a
+    assert by_print >= 3 and by_set >= 10
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {x.doc_id for x in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert kept == {i for i in range(len(texts)) if root(i) == i}
+
+
+def test_near_dedup_of_texts_that_share_a_doc_id(spark):
+    import corpus_pipeline
+
+    r = random.Random(13)
+    a, b, c = (prose(200, r) for _ in range(3))
+    rows = [(3, a), (5, f"{a} tail"), (5, b), (9, f"{b} tail"), (5, c), (7, c), (None, a), (None, b)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(kept, key=str) == sorted(spark.createDataFrame([(3, a), (5, b), (5, c), (None, a), (None, b)], "doc_id long, text string").collect(), key=str)
