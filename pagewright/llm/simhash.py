@@ -287,18 +287,18 @@ def components(nodes: DataFrame, edges: DataFrame, order: str = "label") -> Data
     """nodes(fp, label) and edges(u, v; both senses) -> fp, label: the smallest label reachable.
 
     Labels of nodes are unlike each other. Each round takes the least label around a node, then
-    the label that the owner of that label has got: paths shorten by half or more.
+    the label that the owner of that label has got: paths shorten by half or more. Once no node
+    has a lesser label around it, labels are alike along every edge, and it ends.
     """
     inner = nodes.join(edges.select(F.col("u").alias("fp")).distinct(), "fp", "left_semi")
     state = inner.select("fp", F.col("label").alias("own"), "label").checkpoint()
     while True:
         around = edges.join(state.select(F.col("fp").alias("v"), "label"), "v").groupBy(F.col("u").alias("fp")).agg(F.min("label").alias("near"))
         lower = state.join(around, "fp", "left").select("fp", "own", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label")).checkpoint()
+        if lower.where("label < was").isEmpty():
+            return lower.select("fp", "label")
         jump = lower.select(F.col("own").alias("label"), F.col("label").alias("far"))
-        jumped = lower.join(jump, "label", "left").select("fp", "own", "was", F.least("label", F.coalesce("far", "label")).alias("label")).checkpoint()
-        state = jumped.select("fp", "own", "label")
-        if jumped.where("label < was").isEmpty():
-            return state.select("fp", "label")
+        state = lower.join(jump, "label", "left").select("fp", "own", F.least("label", F.coalesce("far", "label")).alias("label")).checkpoint()
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:

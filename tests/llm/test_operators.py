@@ -529,3 +529,16 @@ def test_near_dedup_of_texts_that_share_a_doc_id(spark):
     rows = [(3, a), (5, f"{a} tail"), (5, b), (9, f"{b} tail"), (5, c), (7, c), (None, a), (None, b)]
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(kept, key=str) == sorted(spark.createDataFrame([(3, a), (5, b), (5, c), (None, a), (None, b)], "doc_id long, text string").collect(), key=str)
+
+
+def test_components_take_no_needless_jobs(spark, monkeypatch):
+    nodes = simhash.written(spark.range(50).select(F.col("id").alias("fp"), F.col("id").alias("label")), "nodes")
+    star = simhash.written(spark.range(1, 50).selectExpr("id AS u", "0L AS v").unionByName(spark.range(1, 50).selectExpr("0L AS u", "id AS v")), "star")
+    made = []
+    own = type(nodes).checkpoint
+    monkeypatch.setattr(type(nodes), "checkpoint", lambda self, *a, **b: made.append(1) or own(self, *a, **b))
+    assert {r.label for r in simhash.components(nodes, star).collect()} == {0}
+    assert len(made) <= 4  # where it starts, one round, and one half that finds nothing lower
+    made.clear()
+    labels = simhash.numbered(nodes.select(F.col("fp").alias("node"), F.struct("label", F.col("fp").alias("node")).alias("label")))
+    assert simhash.merged(labels, star.limit(0)).count() == 50 and not made
