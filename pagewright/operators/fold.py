@@ -33,8 +33,9 @@ def classify(rows: DataFrame, heading: Callable[[Column], Column] | None = None,
     return rows.withColumn("kind", kind)
 
 
-def carry(rows: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
-    """Rows of kind num and prose with number, chapter and section from the rows before.
+def carried(rows: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
+    """All rows, with number, chapter and section from the rows before. Rows whose kind is null stand
+    apart: they neither change nor end anything.
 
     rows have kind, own_number, heading, numeral, roman_title, head_number and md."""
     run = Window.partitionBy(*keys).orderBy(order)
@@ -60,12 +61,25 @@ def carry(rows: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
         .when((F.col("kind") == "headnum") & ~F.col("pending"), F.struct(rest.alias("value")))
     )
     number = F.when(F.col("kind").isin("num", "prose"), F.struct(F.lit(None).cast("int").alias("value"))).when((F.col("kind") == "headnum") & ~F.col("pending"), F.struct(F.col("head_number").alias("value")))
-    rows = rows.withColumns(
+    return rows.withColumns(
         {
             "chapter": F.last(chapter, True).over(so_far),
             "section": F.last(section, True).over(so_far)["value"],
             "number": F.coalesce(F.col("own_number"), F.last(number, True).over(before)["value"]),
         }
     )
-    text = F.when(F.col("kind") == "num", tx.paragraph_rest(F.col("md"))).otherwise(F.col("md"))
-    return rows.where(F.col("kind").isin("num", "prose")).select(*keys, order, "number", "chapter", "section", text.alias("text"))
+
+
+def told() -> Column:
+    """Whether a row is a paragraph, which keeps its text: others only change what follows."""
+    return F.col("kind").isin("num", "prose")
+
+
+def text() -> Column:
+    """A paragraph's text, without its own number."""
+    return F.when(F.col("kind") == "num", tx.paragraph_rest(F.col("md"))).otherwise(F.col("md"))
+
+
+def carry(rows: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
+    """The paragraphs of carried rows."""
+    return carried(rows, keys, order).where(told()).select(*keys, order, "number", "chapter", "section", text().alias("text"))

@@ -38,12 +38,17 @@ def packed(md: Column, numbers: Column) -> Column:
     return F.aggregate(numbers, start, step, finish)
 
 
-def definitions(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, pos, number, text of the note paragraphs (with md, anchor_names, text_stripped)."""
+def defined() -> Column:
+    """array<struct(number, text)> of a note paragraph (with md, anchor_names)."""
     numbers = definition_numbers(F.col("anchor_names"))
     lead = F.regexp_extract(F.substring("md", 1, 20), r"\[(\d+)\]", 1).try_cast("int")
     one = F.array(F.struct(F.coalesce(lead, F.try_element_at(numbers, F.lit(1))).alias("number"), unmarked(F.col("md")).alias("text")))
-    held = rows.where(~F.col("text_stripped").isin("", "\u00a0")).withColumn("note", F.explode(F.when(F.size(numbers) <= 1, one).otherwise(packed(F.col("md"), numbers))))
+    return F.when(F.size(numbers) <= 1, one).otherwise(packed(F.col("md"), numbers))
+
+
+def definitions(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, pos, number, text of the note paragraphs (with md, anchor_names, text_stripped)."""
+    held = rows.where(~F.col("text_stripped").isin("", "\u00a0")).withColumn("note", F.explode(defined()))
     return held.select(*keys, "pos", F.col("note.number").alias("number"), F.col("note.text").alias("text")).where(F.col("number").isNotNull())
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as tx
@@ -34,10 +34,9 @@ def release() -> None:
         _kept.pop().unpersist()
 
 
-def in_order(*fields: str):
-    """The rows of a group as an array of structs in order of pos, without pos."""
-    held = F.sort_array(F.collect_list(F.struct("pos", *fields)))
-    return F.transform(held, lambda x: F.struct(*(x[f].alias(f) for f in fields)))
+def in_order(held: Column, *fields: str) -> Column:
+    """An array of structs that begin with pos in order of pos, without pos."""
+    return F.transform(F.sort_array(held), lambda x: F.struct(*(x[f].alias(f) for f in fields)))
 
 
 def attempt(pages: DataFrame, tokens: DataFrame, strategy: Strategy, order: int = 0, key: str = "slug") -> DataFrame:
@@ -51,25 +50,25 @@ def attempt(pages: DataFrame, tokens: DataFrame, strategy: Strategy, order: int
     rows = strategy.drop_preamble(rows, key)
     rows = rows.withColumn("in_body", F.col("in_body") & (F.col("start").isNull() | (F.col("pos") >= F.col("start"))))
     filled = F.col("in_body") & ~segment.empty(F.col("text_stripped"))
-    whole = Window.partitionBy(key)
-    rows = rows.withColumn("dateline", F.max(F.when(filled & strategy.is_dateline(F.col("text_stripped")), F.col("pos"))).over(whole))
-    rows = rows.withColumn("after", F.min(F.when(filled & (F.col("pos") > F.col("dateline")), F.col("pos"))).over(whole))
-    body = rows.where(F.col("in_body") & ~segment.empty(F.col("text_stripped")) & (tx.strip(F.col("md")) != "") & (F.col("dateline").isNull() | (F.col("pos") < F.col("dateline"))))
-    folded = fold.carry(fold.classify(body, strategy.is_heading, strategy.chapter_numeral), [key])
-    paragraphs = folded.groupBy(key).agg(in_order("number", "chapter", "section", "text").alias("kept"))
-    footnotes = notes.definitions(rows.where("is_note"), [key]).groupBy(key).agg(in_order("number", "text").alias("footnotes"))
-    signature = F.when((F.col("pos") == F.col("after")) & strategy.is_signature(F.col("md")) & (F.col("md") != ""), F.col("md"))
-    heads = rows.groupBy(key).agg(
+    rows = rows.withColumn("dateline", F.max(F.when(filled & strategy.is_dateline(F.col("text_stripped")), F.col("pos"))).over(Window.partitionBy(key)))
+    rows = rows.withColumn("in_text", F.coalesce(filled & (tx.strip(F.col("md")) != "") & (F.col("dateline").isNull() | (F.col("pos") < F.col("dateline"))), F.lit(False)))
+    # Rows that aren't the body's text go along without a kind, so one pass serves text, notes and heads.
+    rows = fold.classify(rows.withColumnRenamed("md", "own_md").withColumn("md", F.when(F.col("in_text"), F.col("own_md"))), strategy.is_heading, strategy.chapter_numeral)
+    rows = fold.carried(rows.withColumn("kind", F.when(F.col("in_text"), F.col("kind"))), [key]).withColumns({"text": fold.text(), "md": F.col("own_md")})
+    note = F.when(F.col("is_note") & ~segment.empty(F.col("text_stripped")), F.transform(F.filter(notes.defined(), lambda n: n["number"].isNotNull()), lambda n: F.struct(F.col("pos"), n["number"].alias("number"), n["text"].alias("text"))))
+    parts = rows.groupBy(key).agg(
+        in_order(F.collect_list(F.when(fold.told(), F.struct("pos", "number", "chapter", "section", "text"))), "number", "chapter", "section", "text").alias("kept"),
+        in_order(F.flatten(F.collect_list(note)), "number", "text").alias("footnotes"),
         F.max("body").alias("body"),
         F.max("title_pos").alias("title_pos"),
         F.max("first_body").alias("first_body"),
         F.max(F.when(F.col("pos") == F.col("title_pos"), F.col("lines"))).alias("lines"),
         F.max(F.when(F.col("pos") == F.col("dateline"), F.col("md"))).alias("dateline_md"),
-        F.max(signature).alias("signature_md"),
+        F.min(F.when(filled & (F.col("pos") > F.col("dateline")), F.struct("pos", "md")))["md"].alias("after_md"),
     )
-    found = pages.select(key, F.col("source_url").alias("given_url"), tx.source_url(F.col("html")).alias("own_url"))
-    for part in (heads, paragraphs, footnotes, faults):
-        found = found.join(part, key, "left")
+    url = F.coalesce(F.nullif("source_url", F.lit("")), tx.source_url(F.col("html")))  # read off the page only if it isn't given
+    found = pages.select(key, url.alias("source_url")).join(parts, key, "left").join(faults, key, "left")
+    found = found.withColumn("signature_md", F.when(strategy.is_signature(F.col("after_md")) & (F.col("after_md") != ""), F.col("after_md")))
     promulgated = tx.dateline_date(F.col("dateline_md"))
     failure = (
         F.when(F.col("fault").isNotNull(), F.col("fault"))
@@ -93,7 +92,7 @@ def attempt(pages: DataFrame, tokens: DataFrame, strategy: Strategy, order: int
         F.col("block.salutation").alias("salutation"),
         F.concat("kept", closing).cast(PARAGRAPHS).alias("paragraphs"),
         F.coalesce("footnotes", F.array().cast(FOOTNOTES)).alias("footnotes"),
-        F.coalesce(F.nullif("given_url", F.lit("")), "own_url").alias("source_url"),
+        F.col("source_url"),
     )
     found = found.withColumn("document", F.when(F.col("failure").isNull(), document))
     crashed = F.array(validate.warning("strategy-crashed", F.concat(F.lit(f"{strategy.name}: "), F.col("failure")), "error"))
@@ -101,8 +100,12 @@ def attempt(pages: DataFrame, tokens: DataFrame, strategy: Strategy, order: int
     return found.select(key, F.lit(order).alias("strategy_ord"), F.lit(strategy.name).alias("strategy_name"), "document", judged.alias("warnings"))
 
 
+def is_clean() -> Column:
+    return F.col("document").isNotNull() & ~validate.has_errors(F.col("warnings"))
+
+
 def clean(attempts: DataFrame) -> DataFrame:
-    return attempts.where(F.col("document").isNotNull() & ~validate.has_errors(F.col("warnings")))
+    return attempts.where(is_clean())
 
 
 class ParseWarning(UserWarning):
@@ -126,7 +129,7 @@ def attempts(pages: DataFrame, chain: Sequence[Strategy] | None = None, key: str
     if strategy is not None:
         chain = (strategy,)
     if tokens is None:
-        tokens = kept(html_tokens.tokens(pages, key, **tokeniser).repartition(key))
+        tokens = kept(html_tokens.tokens(pages, key, **tokeniser).repartition(key).sortWithinPartitions(key, "pos"))  # all windows read this order
     if chain is not None:
         return chained(pages, tokens, chain, key)
     named = settings.table(spark).where(F.col("strategy").isNotNull()).select(F.col("slug").alias(key), F.col("strategy").alias("own_strategy"))
@@ -150,16 +153,16 @@ def chained(pages: DataFrame, tokens: DataFrame, chain: Sequence[Strategy], key:
         own = own if last else kept(own)  # read here and to find what is left
         found = own if found is None else found.unionByName(own)
         if not last:
+            if own.where(~is_clean()).isEmpty():
+                break
             done = clean(own).select(key)
             left, left_tokens = left.join(done, key, "left_anti"), left_tokens.join(done, key, "left_anti")
-            if left.isEmpty():
-                break
     return found
 
 
 def pick(found: DataFrame, key: str = "slug") -> DataFrame:
     """The first clean attempt of each page, else its last, which may be one without a document."""
-    ok = F.col("document").isNotNull() & ~validate.has_errors(F.col("warnings"))
+    ok = is_clean()
     order = Window.partitionBy(key).orderBy(ok.desc(), F.when(ok, F.col("strategy_ord")).otherwise(-F.col("strategy_ord")))
     return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 

@@ -241,3 +241,16 @@ def test_stream(spark, tmp_path):
     (folder / "doc.html").write_text(sample.page())
     html_folder.start(html_folder.source(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert [r.title for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["Spes Nova"]
+
+
+def test_attempt_reads_tokens_once(spark):
+    """Once for the body containers, once for the rows, once for faults: each read walks all windows."""
+    pages = spark.createDataFrame([("good", sample.page(), None)], SCHEMA)
+    found = parse.attempt(pages, html_tokens.tokens(pages, "slug"), st.DEFAULT)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3
+
+
+def test_settings_shuffle_no_documents(spark):
+    docs = spark.range(9).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("title_slug"), F.lit("a").alias("author_slug"), F.lit("p").alias("pope"))
+    plan = overrides.apply(docs, overrides.table(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "LocalTableScan" in plan
