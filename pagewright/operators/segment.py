@@ -30,7 +30,9 @@ def is_definition(anchors: Column) -> Column:
 
 
 def is_rubric(stripped: Column) -> Column:
-    return F.contains(F.upper(stripped), F.lit(tx.RUBRIC)) & (F.length(stripped) < tx.TITLE_LENGTH)
+    """The rubric in any case, in a paragraph of a title's length; only those that can hold it are folded."""
+    long_enough = F.length(stripped).between(len(tx.RUBRIC), tx.TITLE_LENGTH - 1)
+    return long_enough & F.contains(F.upper(stripped), F.lit(tx.RUBRIC))
 
 
 def find_body(tokens: DataFrame, key: str) -> DataFrame:

@@ -254,3 +254,15 @@ def test_settings_shuffle_no_documents(spark):
     docs = spark.range(9).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("title_slug"), F.lit("a").alias("author_slug"), F.lit("p").alias("pope"))
     plan = overrides.apply(docs, overrides.table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "LocalTableScan" in plan
+
+
+def test_plain_tags(monkeypatch):
+    """Tags that skip the parser's search for attributes give the same rows."""
+    pages = [sample.page(), "<DIV class=vaticanrichtext><P>a<BR>b<script><p></script></P ><p>c</b></p><hr/><p><i>d</DIV>", "<title><p></title><p>x</p><style></p></style></p>"]
+    with_all = [paragraphs(x) for x in pages]
+    searched = []
+    found = html_tokens.HTMLParser.parse_starttag
+    monkeypatch.setattr(html_tokens.HTMLParser, "parse_starttag", lambda self, i: searched.append(i) or found(self, i))
+    assert paragraphs("<p><b>x</b></p>")[0]["md"] == "**x**" and not searched
+    monkeypatch.setattr(html_tokens, "PLAIN", frozenset())
+    assert [paragraphs(x) for x in pages] == with_all and searched
