@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import uuid
 from pathlib import Path
 
@@ -25,15 +27,36 @@ CHAPTER = r"^([IVXLCDM]+)\.\s*(.*)$"
 # ---- writing ----
 
 
-@pandas_udf(T.StringType())
-def frontmatter(meta: pd.DataFrame) -> pd.Series:
-    """YAML's quoting and wrapping are its own: one Arrow pass."""
+#: Words and URLs that YAML writes as they are, unless they are WORDS of its own or the line is longer
+#: than LINE; dates it quotes.
+BARE = re.compile(r"[A-Za-z][A-Za-z0-9/_.-]*(?::[A-Za-z0-9/_.?=&%+-]+)*(?: [A-Za-z0-9][A-Za-z0-9/_.-]*)*")
+WORDS, LINE = frozenset("yes no true false on off null".split()), 80
+DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
+
+
+@functools.lru_cache(4096)
+def dumped(name: str, value: str | None) -> str:
+    """What YAML itself makes of a field: its quoting and wrapping are its own."""
     import yaml
 
-    def one(row: dict) -> str:
-        return "---\n" + yaml.safe_dump({k: None if pd.isna(v) else v for k, v in row.items()}, sort_keys=False, allow_unicode=True, default_flow_style=False) + "---\n"
+    return yaml.safe_dump({name: value}, sort_keys=False, allow_unicode=True, default_flow_style=False)
+
 
-    return pd.Series([one(r) for r in meta.to_dict("records")])
+def field(name: str, value: str | None) -> str:
+    """A field's lines, without the emitter where its result is plain."""
+    if value is not None and len(name) + 2 + len(value) <= LINE:
+        if BARE.fullmatch(value) and value.lower() not in WORDS:
+            return f"{name}: {value}\n"
+        if DATE.fullmatch(value):
+            return f"{name}: '{value}'\n"
+    return dumped(name, value)
+
+
+@pandas_udf(T.StringType())
+def frontmatter(meta: pd.DataFrame) -> pd.Series:
+    """A mapping in block style is its fields one after another: one Arrow pass."""
+    columns = [[field(name, None if pd.isna(v) else v) for v in meta[name]] for name in meta.columns]
+    return pd.Series(["---\n" + "".join(row) + "---\n" for row in zip(*columns)], dtype=object)
 
 
 def fence(head: Column, text: Column) -> Column:
@@ -61,12 +84,11 @@ def paragraph(number: Column, text: Column) -> Column:
 def changes(rows: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
     """Adds new_chapter and new_section: where they differ from the last that isn't null; a new
     chapter forgets the section."""
-    run = Window.partitionBy(*keys).orderBy(order)
-    last = F.last("chapter", True).over(run.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("new_chapter", F.col("chapter").isNotNull() & ~F.col("chapter").eqNullSafe(last))
-    rows = rows.withColumn("_run", F.sum(F.col("new_chapter").cast("int")).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    inner = Window.partitionBy(*keys, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("new_section", F.col("section").isNotNull() & ~F.col("section").eqNullSafe(F.last("section", True).over(inner))).drop("_run")
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("new_chapter", F.col("chapter").isNotNull() & ~F.col("chapter").eqNullSafe(F.last("chapter", True).over(before)))
+    told = F.when(F.col("new_chapter") | F.col("section").isNotNull(), F.struct(F.col("section").alias("value")))
+    last = F.when(~F.col("new_chapter"), F.last(told, True).over(before)["value"])
+    return rows.withColumn("new_section", F.col("section").isNotNull() & ~F.col("section").eqNullSafe(last))
 
 
 def render(documents: DataFrame, key: str = "title_slug") -> DataFrame:

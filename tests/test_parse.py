@@ -266,3 +266,22 @@ def test_plain_tags(monkeypatch):
     assert paragraphs("<p><b>x</b></p>")[0]["md"] == "**x**" and not searched
     monkeypatch.setattr(html_tokens, "PLAIN", frozenset())
     assert [paragraphs(x) for x in pages] == with_all and searched
+
+
+def test_frontmatter_fields(monkeypatch):
+    """Plain values skip YAML's emitter and are written as it writes them."""
+    import yaml
+
+    plain = ["Leo XIV", "http://a.b/c?d=e&f=%20", "2001-05-03", "spes-1"]
+    other = ["yes", "Null", "a: b", "x #y", "", None, "word " * 30 + "end", "«q»", "- a", "1:30", "a  b"]
+    expected = [yaml.safe_dump({"pope": v}, sort_keys=False, allow_unicode=True) for v in plain + other]
+    assert [corpus.field("pope", v) for v in plain + other] == expected
+    monkeypatch.setattr(yaml, "safe_dump", None)
+    assert [corpus.field("pope", v) for v in plain] == expected[: len(plain)]
+
+
+def test_changes_sort_once(spark):
+    rows = spark.createDataFrame([("a", i, c, s) for i, (c, s) in enumerate([(None, "s"), ("C", "s"), ("C", None), (None, "s"), ("C", "t"), ("D", None), ("D", "t"), ("D", "t")])], "k string, pos int, chapter string, section string")
+    found = corpus.changes(rows, ["k"])
+    assert [(r.new_chapter, r.new_section) for r in found.orderBy("pos").collect()] == [(False, True), (True, True), (False, False), (False, False), (False, True), (True, False), (False, True), (False, False)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
